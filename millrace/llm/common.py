@@ -106,12 +106,8 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and its 64-bit hash, over concatenated texts.
-
-    A polynomial hash modulo 2**64, read off one running sum, then scrambled. Works through windows
-    of a few MB that end at a blank, so that a very long text needs no more memory for it.
-    """
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word of concatenated texts."""
     blank = _BLANK[data]
     first = np.ones(len(data) + 1, bool)
     first[1:] = blank
@@ -121,10 +117,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     stop = np.ones(len(data) + 1, bool)
     stop[:-1] = blank
     stop[bounds] = True
-    if not len(starts):
-        return starts, starts.copy(), np.zeros(0, np.uint64)
     stops = np.flatnonzero(stop)
-    ends = stops[np.searchsorted(stops, starts, "right")]
+    return starts, stops[np.searchsorted(stops, starts, "right")] if len(starts) else starts.copy()
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of spans, in order of start; A-Z count as a-z if ``lower``.
+
+    A polynomial hash modulo 2**64, read off one running sum, then scrambled. Works through windows
+    of a few MB, so that a very long text needs no more memory for it.
+    """
     out = np.empty(len(starts), np.uint64)
     k = 0
     while k < len(starts):
@@ -137,7 +139,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
         s, e = starts[k:m] - lo, ends[k:m] - lo
         out[k:m] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         k = m
-    return starts, ends, mix(out)
+    return mix(out)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word of concatenated texts."""
+    starts, ends = spans(data, offsets)
+    return starts, ends, hash_spans(data, starts, ends, lower)
 
 
 # ---------------------------------------------------------------- components
