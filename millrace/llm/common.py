@@ -66,6 +66,12 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    while name.lower() in [c.lower() for c in df.columns]:
+        name = "_" + name
+    return name
+
+
 def fold(column: str, modulus: int):
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
