@@ -7,6 +7,7 @@ from importlib import import_module
 _NAMES = {
     "op1_quality_classifier": "quality",
     "op3_ngram_jaccard_join": "ngram_join",
+    "op4_warc": "warc",
     "op5_best_fit_packing": "packing",
     "op6_embedding_near_dedup": "embedding_dedup",
     "op7_language_id": "language_id",
