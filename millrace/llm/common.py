@@ -40,22 +40,23 @@ class Scratch:
 
             base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         self.spark, self.path = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._held = 0, []
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        self._held.append((out, path))
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Remove tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def drop_but(self, *tables: DataFrame) -> None:
+        """Remove all tables but these, which what is returned still reads."""
+        for t, path in self._held:
+            if not any(t is k for k in tables):
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self._held = [(t, path) for t, path in self._held if any(t is k for k in tables)]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

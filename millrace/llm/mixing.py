@@ -109,8 +109,8 @@ def splitting_tree(scratch: Scratch, quotas: DataFrame, depth: int, seed: int) -
 # ---------------------------------------------------------------- the operator
 
 
-def draw(sized: DataFrame, scratch: Scratch, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3, block_words: int | None = 256, shard_words: int = 1 << 22, seed: int = 10, run: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Blocks drawn, and the sources with targets, of ``sized(row, doc_id, source, size)``.
+def draw(sized: DataFrame, scratch: Scratch, keep: DataFrame | None = None, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3, block_words: int | None = 256, shard_words: int = 1 << 22, seed: int = 10, run: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Blocks drawn, and the sources with targets, of ``sized(row, doc_id, source, size)``; ``keep``: a table of the scratch folder that stays.
 
     A block drawn: row, block (its place in the text), words, epoch, shard, order_key.
     """
@@ -144,6 +144,7 @@ def draw(sized: DataFrame, scratch: Scratch, *, weights: tuple[int, ...] = (5, 2
     place = F.col("epoch") * F.col("n") + F.when(F.col("epoch") < F.col("whole"), F.pmod(F.col("r") + shift, F.col("n"))).otherwise(F.col("r"))
     walk = "aggregate(sequence(1, {d}), named_struct('node', 1L, 'at', at), (s, _) -> if(s.at < tree[s.node - 1], named_struct('node', 2 * s.node, 'at', s.at), named_struct('node', 2 * s.node + 1, 'at', s.at - tree[s.node - 1]))).node - {m}"
     shard = F.expr(walk.format(d=depth, m=1 << depth)) if depth else F.lit(0).cast("long")
+    scratch.drop_but(keep, goal, drawn, tree)
     out = drawn.withColumn("at", place).join(tree, "source_rank").withColumn("shard", shard)
     return out.select("row", "doc_id", "block", "words", "epoch", "shard", F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "block", "epoch").alias("order_key")), goal
 
@@ -151,7 +152,7 @@ def draw(sized: DataFrame, scratch: Scratch, *, weights: tuple[int, ...] = (5, 2
 def mix(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """Per row of ``docs(doc_id, text, source)``: doc_id, size, source_size, target, taken."""
     sized = scratch.save(docs.select("doc_id", "source", word_count("text").alias("size")).withColumn("row", F.monotonically_increasing_id()), "sizes")
-    drawn, goal = draw(sized, scratch, **options)
+    drawn, goal = draw(sized, scratch, sized, **options)
     taken = drawn.groupBy("row").agg(F.sum("words").alias("taken"))
     out = sized.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).join(taken, "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -160,7 +161,7 @@ def mix(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
 def mixed_rows(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, whole and as often as it takes them, shard after shard, shuffled inside a shard."""
     kept = scratch.save(docs.select(F.struct("*").alias("doc"), "doc_id", "source", word_count("text").alias("size")).withColumn("row", F.monotonically_increasing_id()), "rows")
-    drawn, _ = draw(kept.select("row", "doc_id", "source", "size"), scratch, block_words=None, **options)
+    drawn, _ = draw(kept.select("row", "doc_id", "source", "size"), scratch, kept, block_words=None, **options)
     out = kept.select("row", "doc").join(drawn.select("row", "shard", "order_key"), "row")
     return out.repartition("shard", F.pmod("order_key", F.lit(16))).sortWithinPartitions("shard", "order_key").select("doc.*")
 

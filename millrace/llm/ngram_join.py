@@ -373,11 +373,22 @@ def ngram_join(docs: DataFrame, scratch: Scratch, *, n: int = 5, percent: int =
     ids = classes.groupBy("fp").agg(F.min("rep").alias("rep"))
     named = links.join(ids.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(ids.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
     final = components(scratch, named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    scratch.drop_but(rows, classes, final)
     labelled = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "fp2", "class_size", F.coalesce("component", "rep").alias("component"))
     return rows.join(labelled, ["fp", "fp2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size")
     )
 
 
+def deduplicate(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest doc_id.
+
+    Rows of one doc_id stay or go together, and repeated rows become one. Rows of null doc_id stay, one for each text.
+    """
+    found = ngram_join(docs, scratch, **options)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read(spark, sf_dir, "documents"), Scratch(spark, "op3"))

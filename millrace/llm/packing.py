@@ -144,6 +144,8 @@ def pack(docs: DataFrame, scratch: Scratch, *, path: str, capacity: int = 2048,
     while True:
         level += 1
         packed = scratch.save(now.groupBy("g").applyInArrow(_pack(level, capacity, hand_up if groups > 1 else 0), now.schema), "packed")
+        if level == 1:
+            scratch.drop_but(packed)
         done.append(packed.where("not up"))
         if groups == 1:
             break
