@@ -94,24 +94,26 @@ def _gain(low: list[int], high: list[int], sizes: list[int], gap: int) -> tuple[
 def improve(bins: list[list[int]], sizes: list[int], capacity: int, receivers: int = 64) -> list[list[int]]:
     """Local search from the emptiest bins up; ``receivers`` bins with most room are tried as partners in a pass."""
     fill = [sum(sizes[i] for i in b) for b in bins]
-    open_bins = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (fill[k], k))
-    for low in open_bins[: len(open_bins) // 2 + 1][:receivers]:
-        better = True
-        while better and bins[low] and fill[low] < capacity:
-            better = False
-            others = sorted((k for k in open_bins if k != low and fill[low] <= fill[k] < capacity and bins[k]), key=lambda k: (fill[k], k))[:receivers]
-            best = (0, (), (), -1)
-            for k in others:
-                found = _gain(bins[low], bins[k], sizes, capacity - fill[k])
-                if found[0] > best[0]:
-                    best = (*found, k)
-            if best[0]:
+    changed = True
+    while changed:  # every change raises the sum of squared fills, so this ends
+        changed = False
+        open_bins = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
+        for low in open_bins[: len(open_bins) // 2 + 1][:receivers]:
+            while bins[low] and fill[low] < capacity:
+                others = sorted((k for k in open_bins if k != low and fill[low] <= fill[k] < capacity and bins[k]), key=lambda k: (fill[k], k))[:receivers]
+                best = (0, (), (), -1)
+                for k in others:
+                    found = _gain(bins[low], bins[k], sizes, capacity - fill[k])
+                    if found[0] > best[0]:
+                        best = (*found, k)
+                if not best[0]:
+                    break
                 d, give, take, k = best
                 bins[low] = [i for i in bins[low] if i not in give] + list(take)
                 bins[k] = [i for i in bins[k] if i not in take] + list(give)
                 fill[low] -= d
                 fill[k] += d
-                better = True
+                changed = True
     return [b for b in bins if b]
 
 
