@@ -1,31 +1,24 @@
-"""Registered queries with the SQL that checks them."""
+"""All registered queries with the SQL that checks them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from importlib import import_module
 
+_MODULES = ("pages", "records", "runs", "fixtures", "markup")
 
-def page_host_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages, distinct titles and body bytes of every host."""
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    host = F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
-    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
-    return p.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("pages"), F.countDistinct(title).alias("titles"), F.sum(F.octet_length("html")).alias("body_bytes"))
 
-
-_SQL = {
-    "page_host_summary": r"""
-        SELECT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, count(*) AS pages,
-               count(DISTINCT regexp_extract(html, '<title>([^<]*)</title>', 1)) AS titles,
-               CAST(sum(octet_length(encode(html))) AS BIGINT) AS body_bytes
-        FROM pages GROUP BY 1"""
-}
+def _found():
+    for name in _MODULES:
+        try:
+            yield import_module(f"{__package__}.{name}")
+        except ModuleNotFoundError as e:
+            if e.name != f"{__package__}.{name}":
+                raise
 
 
 def queries() -> dict:
-    return {"page_host_summary": page_host_summary}
+    return {k: f for m in _found() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: s for m in _found() for k, s in m.SQL.items()}
