@@ -82,7 +82,7 @@ def retry_after_ms(value: Column, now: Column) -> Column:
     """Seconds or an HTTP date, in milliseconds from ``now`` (a timestamp), not below zero."""
     seconds = F.when(value.rlike(r"^\s*[0-9]+(\.[0-9]+)?\s*$"), F.trim(value).cast("double") * 1000)
     date = F.try_to_timestamp(F.regexp_replace(value, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    gap = F.greatest(F.lit(0), F.unix_millis(date) - F.unix_millis(now))
+    gap = F.when(date.isNotNull(), F.greatest(F.lit(0), F.unix_millis(date) - F.unix_millis(now)))
     return F.coalesce(seconds.cast("bigint"), gap)
 
 
