@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("pages", "records", "runs", "fixtures", "markup")
+_MODULES = ("pages", "records", "runs", "diagnostics", "fixtures", "markup")
 
 
 def _found():
