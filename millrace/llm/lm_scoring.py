@@ -1,20 +1,22 @@
 """Language-model scores from an Elias-Fano n-gram trie, op9.
 
-Level 1 holds every training token (sorted 64-bit hashes, counts); level 2 every pair of neighbours. Level 2 is dealt to
-shards by its first word, hot first words over several shards. A shard is one flat file that the
-tasks memory-map: the first words present, an Elias-Fano sequence of pointers to each one's range of
-successors, the successors, and an 8-bit code a pair for its smoothed log probability.
-Successors are stored relative to their context: each range is raised by the last value
-of the range before it, which makes the whole level one monotone sequence. A pair is looked up by finding its
-context, reading the two pointers and the base, and one successor search inside the range.
-
-Smoothing (Dirichlet): P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu) with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
-An unseen pair leaves mu P(w) / (c(v) + mu), which needs level 1 alone. A text starts after an ``end``.
+Level 1 holds every training token (sorted 64-bit hashes, counts), level 2 every pair of neighbours and
+level 3 every triple. Levels 2 and 3 are dealt to shards by the first word, hot first words over several
+shards. A shard is one flat file that the tasks memory-map: the first words present; for each of the two levels an
+Elias-Fano sequence of pointers to a parent's range of successors, the successors, and 8-bit codes of
+smoothed log probabilities; and a code for the back-off of each pair. Successors are stored relative to
+their context: each range is raised by the last value of the range before it, which makes a whole
+level one monotone sequence. A look-up finds the context, reads two pointers and the base, and makes one
+successor search inside the range; the pair found is the context of the next word's triple.
+
+Smoothing (Dirichlet, at each level): P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
+P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu), P(w | uv) = (c(uvw) + mu P(w | v)) / (c(uv) + mu). What isn't
+in a level adds nothing there. A text starts after an ``end``, so its first word has a pair and no triple.
 Codes stand for the mean of their bin, of 256 equally wide ones.
 
-Counting packs sorted hashes and pairs in compressed blobs, dealt by hash, so a very common pair is one entry a blob. Every token and pair of the training
-texts is kept: nothing is pruned. The trie files lie in the shared folder; where that is not a mounted
-path, a task copies a file to its own folder, maps it and unlinks it.
+Counting packs sorted words and triples in compressed blobs, dealt by hash, so a very common pair is one entry a blob. Every token, pair and
+triple of the training texts is kept: nothing is pruned. The trie files lie in the shared folder; where
+that is not a mounted path, a task copies a file to its own folder, maps it and unlinks it.
 
 A null or empty text has the ``end`` token only. A null doc_id is scored and counts as held out.
 Rows repeat as they do in the input and in training. With no training text all counts are 0. Other columns are ignored.
@@ -222,7 +224,9 @@ class Words:
         return ids[code], counts[code]
 
 
-# ---------------------------------------------------------------- level 2
+# ---------------------------------------------------------------- levels 2 and 3
+
+_NONE = 0xFFFFFFFF
 
 
 def shard_of(first: np.ndarray, second: np.ndarray, first_count: np.ndarray, shards: int, spread: int) -> np.ndarray:
@@ -232,91 +236,141 @@ def shard_of(first: np.ndarray, second: np.ndarray, first_count: np.ndarray, sha
     return ((a + b % ways.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
-def _contexts(ids: np.ndarray, end_id: int, tokens: np.ndarray) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[0] = end_id
-    before[1:] = ids[:-1]  # a text's last token is END, so the next text starts after it
-    return before
+def _before(x: np.ndarray, at_start) -> np.ndarray:
+    """The value one place before; a text's last token is END, so the next text starts after it."""
+    out = np.empty_like(x)
+    out[0] = at_start
+    out[1:] = x[:-1]
+    return out
+
+
+def _first_places(code: np.ndarray, n: int) -> np.ndarray:
+    at = np.empty(n, np.int64)
+    at[code[::-1]] = np.arange(len(code))[::-1]
+    return at
 
 
-def _count_pairs(make: tuple, shards: int, spread: int):
+def _count_triples(make: tuple, shards: int, spread: int):
+    """Each token with the one before it and the one after it; an END has none after it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = Words(*make)
         end_id, end_count = (int(x[0]) for x in level.look_up(np.array([END])))
         for tokens in _batches_of_tokens(batches):
             ids, counts = level.encode(tokens)
-            first, first_count = _contexts(ids, end_id, tokens), _contexts(counts, end_count, tokens)
-            code, distinct = pd.factorize((first << 32 | ids).astype(np.uint64))
-            n = np.bincount(code)
-            at = np.empty(len(distinct), np.int64)
-            at[code[::-1]] = np.arange(len(code))[::-1]
+            first, first_count = _before(ids, end_id), _before(counts, end_count)
+            third = np.append(ids[1:], _NONE)
+            third[tokens == END] = _NONE
+            pair_code, pair = pd.factorize((first << 32 | ids).astype(np.uint64))
+            at = _first_places(pair_code, len(pair))
             shard = shard_of(first[at], ids[at], first_count[at], shards, spread)
-            order = np.lexsort((distinct, shard))
-            shard, pair, n = shard[order], distinct[order], n[order].astype("<u4")
-            one = (pair >> np.uint64(32)).astype("<u4")
+            rank = np.empty(len(pair), np.int64)
+            rank[np.lexsort((pair, shard))] = np.arange(len(pair))
+            code, distinct = pd.factorize((rank[pair_code] << 32 | third).astype(np.uint64))
+            n, order = np.bincount(code), np.argsort(distinct)
+            distinct, n = distinct[order], n[order].astype("<u4")
+            back = np.empty(len(pair), np.int64)
+            back[rank] = np.arange(len(pair))
+            own = back[(distinct >> np.uint64(32)).astype(np.int64)]
+            one, dealt = (pair[own] >> np.uint64(32)).astype("<u4"), shard[own]
             step = np.diff(one, prepend=np.uint32(0))
-            step[_cuts(shard)[:-1]] = one[_cuts(shard)[:-1]]
-            yield _deal(shard, [step, (pair & np.uint64(0xFFFFFFFF)).astype("<u4"), n])
+            starts = _cuts(dealt)[:-1]
+            step[starts] = one[starts]
+            yield _deal(dealt, [step, (pair[own] & np.uint64(_NONE)).astype("<u4"), (distinct & np.uint64(_NONE)).astype("<u4"), n])
 
     return run
 
 
-def smoothed(pair_count, first_count, second_count, total: int, distinct: int, mu: float):
-    """log10 P(second | first)."""
-    alone = (second_count + 0.1) / (total + 0.1 * (distinct + 1))
-    return np.log10((pair_count + mu * alone) / (first_count + mu))
+def alone(counts, total: int, distinct: int):
+    return (counts + 0.1) / (total + 0.1 * (distinct + 1))
+
 
+def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """8-bit codes of numbers, and the mean of each code's."""
+    if not len(x):
+        return np.zeros(0, np.uint8), np.zeros(256)
+    low, high = x.min(), x.max()
+    code = np.minimum(255, (x - low) * (256 / max(1e-9, high - low))).astype(np.uint8)
+    return code, np.bincount(code, weights=x, minlength=256) / np.maximum(np.bincount(code, minlength=256), 1)
 
-def build_shard(first: np.ndarray, second: np.ndarray, log_p: np.ndarray) -> dict[str, np.ndarray]:
-    """Flat arrays of one shard from its distinct pairs in order."""
-    cut = _cuts(first)
-    last = second[cut[1:] - 1].astype(np.int64)
-    base = np.append(0, np.cumsum(last + 1)[:-1])
-    low, high = log_p.min(), log_p.max()
-    code = np.minimum(255, (log_p - low) * (256 / max(1e-9, high - low))).astype(np.uint8)
-    size = np.bincount(code, minlength=256)
-    book = np.bincount(code, weights=log_p, minlength=256) / np.maximum(size, 1)
-    arrays = {"context": first[cut[:-1]].astype("<u4"), "code": code, "book": book}
-    for name, x in (("pointer", cut), ("child", second.astype(np.int64) + np.repeat(base, np.diff(cut)))):
-        arrays |= {f"{name}.{k}": v for k, v in build(x).items()}
-    return arrays
+
+def _ranges(cut: np.ndarray, values: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """Pointers to ranges, and values relative to their range's context, both monotone. cut: bounds of the ranges; some may be empty."""
+    size = np.diff(cut)
+    last = np.where(size > 0, values[np.maximum(cut[1:] - 1, 0)] + 1, 0) if len(values) else np.zeros(len(size), np.int64)
+    base = np.append(0, np.cumsum(last)[:-1]) if len(size) else last
+    out = {}
+    for kind, x in (("pointer", cut), ("child", values + np.repeat(base, size))):
+        out |= {f"{name}{kind}.{k}": v for k, v in build(x).items()}
+    return out
 
 
-def query_shard(arrays: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """log10 P of pairs, NaN where the shard has none."""
-    out = np.full(len(first), np.nan)
+def build_shard(first: np.ndarray, second: np.ndarray, third: np.ndarray, n: np.ndarray, level, total: int, distinct: int, mu: float) -> dict[str, np.ndarray]:
+    """Flat arrays of one shard from its distinct triples in order; a third word of _NONE counts for the pair only."""
+    pair_cut = _cuts(first << 32 | second)
+    begin = pair_cut[:-1]
+    pairs, one, two = np.add.reduceat(n, begin), first[begin], second[begin]
+    ids, code = np.unique(two, return_inverse=True)
+    second_count = level.counts(ids)[code]
+    log_p = np.log10((pairs + mu * alone(second_count, total, distinct)) / (level.counts(one) + mu))
+    real = third != _NONE
+    owner = np.repeat(np.arange(len(begin)), np.diff(pair_cut))[real]
+    one_cut = _cuts(one)
+    arrays = {"context": one[one_cut[:-1]].astype("<u4")}
+    arrays["code2"], arrays["book2"] = _codes(log_p)
+    arrays["code_back"], arrays["book_back"] = _codes(np.log10(mu / (pairs + mu)))
+    arrays["code3"], arrays["book3"] = _codes(np.log10(n[real] / (pairs[owner] + mu)))
+    arrays |= _ranges(one_cut, two, "2")
+    return arrays | _ranges(np.append(0, np.cumsum(np.bincount(owner, minlength=len(begin)))), third[real], "3")
+
+
+def _sequences(arrays: dict[str, np.ndarray], name: str) -> tuple[EliasFano, EliasFano]:
+    return tuple(EliasFano({k.split(".")[1]: v for k, v in arrays.items() if k.startswith(name + kind)}) for kind in ("pointer", "child"))
+
+
+def successor(arrays: dict[str, np.ndarray], name: str, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Place of a word among the successors of a parent, or -1."""
+    pointer, child = _sequences(arrays, name)
+    if not child.n:
+        return np.full(len(parent), -1, np.int64)
+    begin, end = pointer.get(parent), pointer.get(parent + 1)
+    base = np.where(begin > 0, child.get(np.maximum(begin - 1, 0)) + 1, 0)
+    return child.find(base + word, begin, end)
+
+
+def query_pairs(arrays: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Nodes of pairs, -1 where the shard has none."""
+    out = np.full(len(first), -1, np.int64)
     context = arrays["context"]
     at = np.minimum(np.searchsorted(context, first.astype(np.uint32)), len(context) - 1)
     some = np.flatnonzero(context[at] == first)
     if len(some):
-        pointer, child = (EliasFano({k.split(".")[1]: v for k, v in arrays.items() if k.startswith(name)}) for name in ("pointer", "child"))
-        at = at[some]
-        begin, end = pointer.get(at), pointer.get(at + 1)
-        base = np.where(begin > 0, child.get(np.maximum(begin - 1, 0)) + 1, 0)
-        found = child.find(base + second[some], begin, end)
-        hit = found >= 0
-        out[some[hit]] = arrays["book"][arrays["code"][found[hit]]]
+        out[some] = successor(arrays, "2", at[some], second[some])
     return out
 
 
-def _level_two(folder: str, make: tuple, total: int, distinct: int, mu: float):
+def _level_files(folder: str, make: tuple, total: int, distinct: int, mu: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        level, firsts, seconds, counts = Words(*make), [], [], []
+        level, columns = Words(*make), []
         for b in table.column("blob").to_pylist():
-            step, second, n = _expand(b, ["<u4", "<u4", "<u4"])
-            firsts.append(np.cumsum(step, dtype=np.uint64))
-            seconds.append(second)
-            counts.append(n)
-        pair = np.concatenate(firsts) << np.uint64(32) | np.concatenate(seconds)
-        order = np.argsort(pair, kind="stable")
-        pair, n = pair[order], np.concatenate(counts)[order].astype(np.int64)
-        cut = _cuts(pair)
-        pair, n = pair[cut[:-1]], np.add.reduceat(n, cut[:-1])
-        first, second = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        ids, code = np.unique(second, return_inverse=True)
-        log_p = smoothed(n, level.counts(first), level.counts(ids)[code], total, distinct, mu)
-        path = write_arrays(folder, build_shard(first, second, log_p))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "path": [path], "n": pa.array([len(pair)], pa.int64())})
+            step, second, third, n = _expand(b, ["<u4", "<u4", "<u4", "<u4"])
+            columns.append((np.cumsum(step, dtype=np.uint64) << np.uint64(32) | second, third, n))
+        pair, third, n = (np.concatenate(x) for x in zip(*columns, strict=True))
+        del columns
+        code, pairs = pd.factorize(pair)
+        order = np.argsort(pairs)
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.arange(len(order), dtype=np.uint64)
+        both = rank[code] << np.uint64(32) | third
+        pairs = pairs[order]
+        order = np.argsort(both, kind="stable")
+        both, n = both[order], n[order].astype(np.int64)
+        cut = _cuts(both)
+        both, n = both[cut[:-1]], np.add.reduceat(n, cut[:-1])
+        pair = pairs[(both >> np.uint64(32)).astype(np.int64)]
+        first, second, third = ((x & np.uint64(_NONE)).astype(np.int64) for x in (pair >> np.uint64(32), pair, both))
+        path = write_arrays(folder, build_shard(first, second, third, n, level, total, distinct, mu))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "path": [path], "n": pa.array([len(both)], pa.int64())})
 
     return run
 
@@ -328,42 +382,63 @@ def train(texts: DataFrame, scratch: Scratch, *, mu: float = 100.0, spread: int
     """Trie of ``texts(text)``: paths and sizes of its files, totals."""
     spark = texts.sparkSession
     bits = max(6, (parts(spark) - 1).bit_length())
-    shards = max(16, 1 << (bits - 2))
+    shards = 1 << bits
     folder = f"{scratch.path}/trie"
     text = texts.select("text")
     counted = text.mapInArrow(_count_words(bits), "bucket int, blob binary").groupBy("bucket").applyInArrow(_level_one(folder), "bucket int, path string, n bigint, total bigint")
     files = scratch.save(counted, "level1").collect()  # one row a file
     make = ([(r["bucket"], r["path"], r["n"]) for r in files], bits)
     total, distinct = sum(r["total"] for r in files), sum(r["n"] for r in files)
-    pairs = text.mapInArrow(_count_pairs(make, shards, spread), "bucket int, blob binary").groupBy("bucket").applyInArrow(_level_two(folder, make, total, distinct, mu), "shard int, path string, n bigint")
-    paths = {r["shard"]: r["path"] for r in scratch.save(pairs, "level2").collect()}
+    triples = text.mapInArrow(_count_triples(make, shards, spread), "bucket int, blob binary").groupBy("bucket").applyInArrow(_level_files(folder, make, total, distinct, mu), "shard int, path string, n bigint")
+    paths = {r["shard"]: r["path"] for r in scratch.save(triples, "levels").collect()}
     return {"words": make, "total": total, "distinct": distinct, "mu": mu, "spread": spread, "shards": shards, "paths": paths}
 
 
+def _by_shard(shard: np.ndarray, then: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.lexsort((then, shard))
+    cut = _cuts(shard[order]) if len(order) else np.zeros(1, int)
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(shard[order[lo]]), order[lo:hi]
+
+
 def score_tokens(model: dict, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token of texts that END closes: count, log10 of its base probability, log10 P after its neighbour."""
+    """For each token of texts that END closes: count, log10 of its base probability, log10 P after its neighbours."""
     level, total, distinct, mu = Words(*model["words"]), model["total"], model["distinct"], model["mu"]
     ids, counts = level.encode(tokens)
     end_id, end_count = (int(x[0]) for x in level.look_up(np.array([END])))
-    first, first_count = _contexts(ids, end_id, tokens), _contexts(counts, end_count, tokens)
-    log_p = smoothed(0, first_count, counts, total, distinct, mu)
+    first, first_count = _before(ids, end_id), _before(counts, end_count)
+    base = alone(counts, total, distinct)
+    p = mu * base / (first_count + mu)
     known = np.flatnonzero((ids >= 0) & (first >= 0))
     code, pair = pd.factorize((first[known] << 32 | ids[known]).astype(np.uint64))
-    a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    at = np.empty(len(pair), np.int64)
-    at[code] = known
-    shard = shard_of(a, b, first_count[at], model["shards"], model["spread"])
-    order = np.lexsort((pair, shard))
-    found = np.full(len(pair), np.nan)
-    cut = _cuts(shard[order]) if len(order) else np.zeros(1, int)
-    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        rows = order[lo:hi]
-        path = model["paths"].get(int(shard[rows[0]]))
-        if path:
-            found[rows] = query_shard(map_arrays(path), a[rows], b[rows])
-    got = found[code]
-    log_p[known] = np.where(np.isnan(got), log_p[known], got)
-    return counts, np.log10((counts + 0.1) / (total + 0.1 * (distinct + 1))), log_p
+    a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(_NONE)).astype(np.int64)
+    shard = shard_of(a, b, first_count[known][_first_places(code, len(pair))], model["shards"], model["spread"]) if len(pair) else np.zeros(0, np.int64)
+    node, pair_p, back = np.full(len(pair), -1, np.int64), np.zeros(len(pair)), np.ones(len(pair))
+    for k, rows in _by_shard(shard, pair):
+        if k in model["paths"]:
+            arrays = map_arrays(model["paths"][k])
+            node[rows] = query_pairs(arrays, a[rows], b[rows])
+            hit = rows[node[rows] >= 0]
+            pair_p[hit], back[hit] = 10 ** arrays["book2"][arrays["code2"][node[hit]]], 10 ** arrays["book_back"][arrays["code_back"][node[hit]]]
+    p[known] = np.where(node[code] >= 0, pair_p[code], p[known])
+
+    own = np.full(len(tokens), -1, np.int64)
+    own[known] = np.where(node[code] >= 0, code, -1)
+    above = _before(own, -1)
+    above[1:][tokens[:-1] == END] = -1
+    deep = np.flatnonzero(above >= 0)
+    p[deep] *= back[above[deep]]
+    deep = deep[ids[deep] >= 0]
+    code, triple = pd.factorize((above[deep] << 32 | ids[deep]).astype(np.uint64))
+    parent, word = (triple >> np.uint64(32)).astype(np.int64), (triple & np.uint64(_NONE)).astype(np.int64)
+    more = np.zeros(len(triple))
+    for k, rows in _by_shard(shard[parent], node[parent]):
+        arrays = map_arrays(model["paths"][k])
+        found = successor(arrays, "3", node[parent[rows]], word[rows])
+        hit = found >= 0
+        more[rows[hit]] = 10 ** arrays["book3"][arrays["code3"][found[hit]]]
+    p[deep] += more[code]
+    return counts, np.log10(base), np.log10(p)
 
 
 def _score(shared, least: int = 1 << 20):

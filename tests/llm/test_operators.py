@@ -384,6 +384,7 @@ def test_lm_scoring(spark, docs, scratch):
     tokens = lambda x: [*WORD.findall((x or "").translate(LOW)), None]
     known = [tokens(r[1]) for r in rows if fold(r[0], 10)]
     c, pairs = Counter(w for t in known for w in t), Counter((a, b) for t in known for a, b in zip([None, *t[:-1]], t, strict=True))
+    triples = Counter(x for t in known for x in zip([None, *t[:-2]], t[:-1], t[1:], strict=False))
     total, distinct = sum(c.values()), len(c)
     where = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
     for got in (score(docs, train(docs.where(where), scratch, spread=50)), score(docs, train(docs.where(where), scratch))):
@@ -393,7 +394,11 @@ def test_lm_scoring(spark, docs, scratch):
             p = [math.log10((c[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in t]
             r = got[i, round(sum(p), 6)]
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(c[w] > 0 for w in t), total)
-            want = sum(math.log10((pairs[a, b] + 100 * 10**q) / (c[a] + 100)) for a, b, q in zip([None, *t[:-1]], t, p, strict=True))
+            want = 0.0
+            for j, (a, b, q) in enumerate(zip([None, *t[:-1]], t, p, strict=True)):
+                two = (pairs[a, b] + 100 * 10**q) / (c[a] + 100)
+                before = t[j - 2] if j > 1 else None
+                want += math.log10(two if not j else (triples[before, a, b] + 100 * two) / (pairs[before, a] + 100))
             assert r["score"] == pytest.approx(want, abs=0.02 * len(t))
     none = score(docs, train(docs.limit(0), scratch)).collect()
     assert len(none) == len(rows) and {(r["n_known"], r["train_tokens"]) for r in none} == {(0, 0)}
