@@ -7,24 +7,64 @@ letters count as lower case, as the tokenizer's own normaliser makes them; both
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 import pandas as pd
 
 from .common import hash_spans, spans
 
-_LIMIT = 500_000
+_LIMIT = 2_000_000
+_RECENT = 1 << 17
 _state: dict = {}
 
 
-def _tables(path: str) -> dict:
-    if _state.get("path") != path or len(_state["place"]) > _LIMIT:
+class _Cache:
+    """Words by key, in sorted arrays: some 30 bytes a word. New words gather in a small array that is merged now and then."""
+
+    def __init__(self):
+        self.keys = [np.zeros(0, np.uint64)] * 2
+        self.places = [np.zeros(0, np.int32)] * 2
+        self.cut, self.ids, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 17, np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of sorted keys, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        for own, places in zip(self.keys, self.places, strict=True):
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                hit = own[at] == keys
+                out[hit] = places[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of new sorted keys."""
+        end = self.cut[self.n]
+        while len(self.cut) <= self.n + len(keys):
+            self.cut = np.concatenate([self.cut, np.zeros_like(self.cut)])
+        while len(self.ids) < end + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[end : end + len(ids)] = ids
+        self.cut[self.n + 1 : self.n + 1 + len(keys)] = end + np.cumsum(sizes)
+        places = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.n += len(keys)
+        level = 1 if len(self.keys[1]) + len(keys) < _RECENT else 0
+        parts = [self.keys[1], keys] if level else [*self.keys, keys]
+        both = np.concatenate(parts)
+        order = np.argsort(both, kind="stable")
+        spots = np.concatenate([self.places[1], places] if level else [*self.places, places])
+        self.keys[level], self.places[level] = both[order], spots[order]
+        if not level:
+            self.keys[1], self.places[1] = self.keys[1][:0], self.places[1][:0]
+        return places
+
+
+def _tables(path: str) -> tuple:
+    if _state.get("path") != path:
         from tokenizers import Tokenizer
 
-        tokenizer = _state["tokenizer"] if _state.get("path") == path else Tokenizer.from_file(path)
-        _state.update(path=path, tokenizer=tokenizer, place={}, cut=array("q", [0]), ids=array("I"))
-    return _state
+        _state.update(path=path, tokenizer=Tokenizer.from_file(path), cache=_Cache())
+    if _state["cache"].n > _LIMIT:
+        _state["cache"] = _Cache()
+    return _state["tokenizer"], _state["cache"]
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,28 +81,51 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.where(plain, low, exact ^ np.uint64(0x5DEECE66D))
 
 
+def _encode_words(tokenizer, texts: list[str], run: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ids, and the ids one after another. Words go in runs, parted by a bar that no word holds."""
+    bar = tokenizer.token_to_id("|</w>")
+    sizes, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)] * len(texts)
+    plain = [i for i, x in enumerate(texts) if "|" not in x] if bar is not None else []
+    runs = [plain[a : a + run] for a in range(0, len(plain), run)]
+    rest = set(range(len(texts))).difference(plain)
+    for mine, e in zip(runs, tokenizer.encode_batch_fast([" | ".join([texts[i] for i in r]) for r in runs], add_special_tokens=False), strict=True):
+        got = np.array(e.ids, np.uint32)
+        at = np.flatnonzero(got == bar)
+        if len(at) != len(mine) - 1:
+            rest.update(mine)
+            continue
+        begin, end = np.append(0, at + 1), np.append(at, len(got))
+        sizes[mine] = end - begin
+        for i, a, b in zip(mine, begin.tolist(), end.tolist(), strict=True):
+            parts[i] = got[a:b]
+    single = sorted(rest)
+    for i, e in zip(single, tokenizer.encode_batch_fast([texts[i] for i in single], add_special_tokens=False), strict=True):
+        parts[i] = np.array(e.ids, np.uint32)
+        sizes[i] = len(parts[i])
+    return sizes, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
 def encode(path: str, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of concatenated texts, and where each text's ids begin; ``end_id`` closes each text."""
     starts, ends, keys = subwords(data, offsets)
     code, distinct = pd.factorize(keys)
-    t = _tables(path)
-    place, ids, cut = t["place"], t["ids"], t["cut"]
-    found = distinct.tolist()
-    new = [i for i, k in enumerate(found) if k not in place]
-    if new:
-        first = np.full(len(found), -1, np.int64)
+    tokenizer, cache = _tables(path)
+    order = np.argsort(distinct)
+    sorted_keys = distinct[order]
+    at = cache.find(sorted_keys)
+    new = np.flatnonzero(at < 0)
+    if len(new):
+        first = np.full(len(distinct), -1, np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         raw = data.tobytes()
-        texts = [raw[starts[f] : ends[f]].decode("utf-8", "replace") for f in first[new].tolist()]
-        for i, e in zip(new, t["tokenizer"].encode_batch(texts, add_special_tokens=False), strict=True):
-            place[found[i]] = len(cut) - 1
-            ids.extend(e.ids)
-            cut.append(len(ids))
-    at = np.fromiter((place[k] for k in found), np.int64, len(found))
-    pool, bounds = np.frombuffer(ids, np.uint32) if len(ids) else np.zeros(0, np.uint32), np.frombuffer(cut, np.int64)
-    begin, size = bounds[at], bounds[at + 1] - bounds[at]
-    pool, begin, size = pool.copy(), begin[code], size[code]
-    close = 0 if end_id is None else 1
+        lo, hi = starts[first[order[new]]].tolist(), ends[first[order[new]]].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(lo, hi, strict=True)]
+        at[new] = cache.add(sorted_keys[new], *_encode_words(tokenizer, texts))
+    spot = np.empty(len(distinct), np.int64)
+    spot[order] = at
+    spot = spot[code]
+    begin = cache.cut[spot]
+    size, pool, close = cache.cut[spot + 1] - begin, cache.ids, 0 if end_id is None else 1
     owner = np.searchsorted(offsets, starts, "right") - 1  # an empty text shares its offset with the next one
     per = np.bincount(owner, weights=size, minlength=len(offsets) - 1).astype(np.int64) if len(size) else np.zeros(len(offsets) - 1, np.int64)
     text_cut = np.append(0, np.cumsum(per + close))
@@ -71,5 +134,4 @@ def encode(path: str, data: np.ndarray, offsets: np.ndarray, end_id: int | None
     where = np.arange(int(total[-1]) if len(total) else 0)
     source = np.repeat(begin - (total - size), size) + where
     out[where + close * np.repeat(owner, size)] = pool[source]
-    del pool, bounds
     return out, text_cut
