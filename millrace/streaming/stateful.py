@@ -102,8 +102,12 @@ def autoscale(df: DataFrame, window: int = 20, low: int = 1, high: int = 20, ste
 # ---------------------------------------------------------------- the same folds over streams
 
 
-def stream_change_states(stream: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """first-seen, unchanged or changed of each event (key, ms, event_id, hash); a key's state goes after ``ttl_ms`` without one."""
+def _timeout(ttl_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+
+
+def stream_change_states(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """first-seen, unchanged or changed of each event (key, ms, event_id, hash); with ``ttl_ms`` a key's state goes after so long without one (such a stream never ends by itself)."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -113,13 +117,14 @@ def stream_change_states(stream: DataFrame, ttl_ms: int = 86_400_000) -> DataFra
         previous = state.get[0] if state.exists else None
         out, previous = fold_hash(rows, previous)
         state.update((previous,))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "out": out})
 
-    return stream.groupBy("key").applyInPandasWithState(run, "key string, event_id bigint, out string", "hash string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("key").applyInPandasWithState(run, "key string, event_id bigint, out string", "hash string", "append", _timeout(ttl_ms))
 
 
-def stream_token_bucket(stream: DataFrame, rate: float, burst: float, ttl_ms: int = 3_600_000) -> DataFrame:
+def stream_token_bucket(stream: DataFrame, rate: float, burst: float, ttl_ms: int | None = None) -> DataFrame:
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -128,7 +133,8 @@ def stream_token_bucket(stream: DataFrame, rate: float, burst: float, ttl_ms: in
         tokens, last = state.get if state.exists else (burst, None)
         out, tokens, last = fold_bucket(rows, tokens, last, rate, burst)
         state.update((tokens, last))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "out": out})
 
-    return stream.groupBy("key").applyInPandasWithState(run, "key string, event_id bigint, out bigint", "tokens double, last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("key").applyInPandasWithState(run, "key string, event_id bigint, out bigint", "tokens double, last bigint", "append", _timeout(ttl_ms))

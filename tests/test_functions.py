@@ -183,7 +183,7 @@ def test_streams_match_replays(spark, tmp_path):
     for name, make, want in (("c", stateful.stream_change_states, stateful.change_states(batch)), ("b", lambda s: stateful.stream_token_bucket(s, 1.0, 2.0), stateful.token_bucket(batch, 1.0, 2.0))):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/*.json")
         q = make(stream).writeStream.format("memory").queryName(f"out_{name}").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck_{name}").trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        assert q.awaitTermination(120)
         assert sorted(rows(spark.table(f"out_{name}"))) == sorted(rows(want))
 
 
@@ -191,7 +191,7 @@ def test_stream_windows(spark, tmp_path):
     pd.DataFrame({"user": [1, 1, 2, 1], "at": ["2024-01-01T00:01:00", "2024-01-01T00:59:00", "2024-01-01T00:10:00", "2024-01-01T05:00:00"]}).to_json(f"{tmp_path}/w.json", orient="records", lines=True)
     stream = spark.readStream.schema("user long, at timestamp").json(f"{tmp_path}/*.json")
     q = stateful.windowed_counts(stream, "at", ["user"]).writeStream.format("memory").queryName("out_w").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination(60)
+    assert q.awaitTermination(60)
     assert sorted((r["user"], r["n"]) for r in spark.table("out_w").collect()) == [(1, 1), (1, 2), (2, 1)]
 
 
