@@ -28,10 +28,9 @@ def events_after(df: DataFrame, after: int, kind: str | None = None, text: str =
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row of every key in the order given: a partial-aggregated minimum, no window."""
+    """First row of every key in the order given (a total one): a partial-aggregated minimum, no window."""
     rest = [c for c in df.columns if c not in keys]
-    packed = F.min(F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_{c}") for c in rest])).alias("_row")
-    return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_row._{c}").alias(c) for c in rest])
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
