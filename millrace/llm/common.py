@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_WINDOW = 1 << 21
+_WINDOW = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -90,7 +90,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after last, bytes, offsets) of runs of rows of about ``limit`` bytes; a longer text is a run of its own. Null: empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_binary()).fill_null(b"")

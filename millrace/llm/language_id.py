@@ -203,10 +203,10 @@ class Reader:
 # ---------------------------------------------------------------- the operator
 
 
-def train(docs: DataFrame, *, sample: int = 4000, window: int = 64, epochs: int = 6) -> dict | None:
-    """Model from ``docs(doc_id, text, lang)``, or None if no text has a language."""
+def train(docs: DataFrame, *, sample: int = 4000, window: int = 64, epochs: int = 6, languages: int = 1000) -> dict | None:
+    """Model from ``docs(doc_id, text, lang)``, or None if no text has a language. It learns the ``languages`` most frequent ones."""
     known = docs.where(fold("doc_id", 4) != 2).where("lang is not null and doc_id is not null and length(text) > 0")
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().limit(1000).collect())
+    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
     if not langs:
         return None
     each = -(-sample // len(langs))

@@ -331,7 +331,7 @@ def _search_group(percent: int):
 def ngram_join(docs: DataFrame, scratch: Scratch, *, n: int = 5, percent: int = 80, block: int = 256, pivots: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_size (rows with the same set) for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    bits = max(6, (parts(spark) - 1).bit_length())
+    bits = max(8, (parts(spark) - 1).bit_length())
     texts = docs.select("doc_id", "text")
     rows = scratch.save(texts.mapInArrow(_class_rows(n), "doc_id bigint, n bigint, fp bigint, fp2 bigint"), "sets")
     classes = scratch.save(rows.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), "classes")

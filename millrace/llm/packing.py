@@ -1,6 +1,6 @@
 """Best-fit packing with swap-based local search, op5.
 
-Texts become pieces of at most ``capacity`` ids. Pieces are dealt evenly by hash to groups of about
+Texts become pieces of at most ``capacity`` ids. Pieces are dealt evenly by a hash of their place in the stored table to groups of about
 ``group`` pieces; each group is packed best-fit decreasing and then improved by local search: moving
 one piece, exchanging one for one or two for one between underfull bins whenever that raises the sum
 of squared fills, until bins empty or nothing helps. Every group hands its few emptiest bins to a
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, scratch: Scratch, *, path: str, capacity: int = 2048,
     """Pieces of ``docs(doc_id, text)`` with their sequence and their place in it."""
     pieces = scratch.save(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, end_id), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group))
-    now = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "up": F.lit(False)})
+    now = pieces.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "up": F.lit(False)})
     done, level = [], 0
     while True:
         level += 1
