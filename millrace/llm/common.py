@@ -78,6 +78,19 @@ def fold(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def tidy() -> None:
+    """Gives what a task has freed back to the system; workers live on beside others."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 # ---------------------------------------------------------------- hashing
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fold, free_name, read, text_chunks
+from .common import fold, free_name, read, text_chunks, tidy
 
 _HIDDEN = 8
 
@@ -246,6 +246,8 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
                     pred.append(m["langs"][best[i]] if known else "und")
                     score.append(float(min(1.0, p[i, best[i]])) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names])
+        del reader
+        tidy()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 

@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, mix, parts, read, text_chunks, words
+from .common import Scratch, fold, mix, parts, read, text_chunks, tidy, words
 from .elias_fano import EliasFano, build
 
 END = np.uint64(0x656E64)
@@ -147,6 +147,8 @@ def _batches_of_tokens(batches: Iterator[pa.RecordBatch], least: int = 1 << 20)
                 held, size = [], 0
     if held:
         yield np.concatenate(held)
+    held = []
+    tidy()
 
 
 # ---------------------------------------------------------------- level 1
@@ -464,6 +466,8 @@ def _score(shared, least: int = 1 << 20):
                     ids, held, n = [], [], 0
         if held:
             yield out(ids, held)
+        ids, held = [], []
+        tidy()
 
     return run
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components, mix, parts, read, text_chunks, words
+from .common import Forest, Scratch, components, mix, parts, read, text_chunks, tidy, words
 
 _LOW = np.uint64(40)
 _MASK = np.uint64((1 << 40) - 1)
@@ -81,6 +81,7 @@ def _class_rows(n: int):
                 two.append(fingerprints(size, sets, 2))
             if sizes:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], ["doc_id", "n", "fp", "fp2"])
+        tidy()
 
     return run
 
@@ -143,6 +144,8 @@ def _by_bucket(n: int, bits: int, flush: int = 1 << 20):
                     sizes, fps, toks, held, rows = [], [], [], 0, 0
         if held:
             yield out(sizes, fps, toks)
+        sizes, fps, toks = [], [], []
+        tidy()
 
     return run
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, text_chunks
+from .common import Scratch, read, text_chunks, tidy
 from .tokens import encode
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -41,6 +41,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
                 doc = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([doc.cast(pa.int64()), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tidy()
 
     return run
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, free_name, hash_spans, read, spans, text_chunks
+from .common import fold, free_name, hash_spans, read, spans, text_chunks, tidy
 
 _SHAPES, _HASHED = 3 * 6 * 3 * 2 * 2, 512
 TERMS = 2 * _SHAPES + _HASHED
@@ -135,6 +135,7 @@ def classify(docs: DataFrame, model: dict | None) -> DataFrame:
             else:
                 s = np.concatenate([score(m, part) for part in term_counts(batch.column(at))]) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, name])
+        tidy()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
