@@ -56,32 +56,30 @@ def attribute(begin: np.ndarray, end: np.ndarray, borders: np.ndarray, rule: str
     return tokens, crossing
 
 
-def _tokenizer(path: str):
-    if _state.get("path") != path:
-        from tokenizers import Tokenizer
+def _tokenizer(path: str, pattern: str):
+    """Encoder, and bytes of every id."""
+    if _state.get("key") != (path, pattern):
+        import base64
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _state.update(path=path, tokenizer=t, bytes=_byte_lengths(t))
-    return _state["tokenizer"], _state["bytes"]
+        import tiktoken
 
+        with open(path, "rb") as lines_:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines_)}
+        width = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            width[i] = len(token)
+        _state.update(key=(path, pattern), encode=tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, bytes=width)
+    return _state["encode"], _state["bytes"]
 
-def _byte_lengths(tokenizer) -> np.ndarray:
-    """Bytes of every id: a byte-level token has one character for each byte."""
-    out = np.zeros(tokenizer.get_vocab_size(), np.int64)
-    for token, i in tokenizer.get_vocab().items():
-        out[i] = len(token)
-    return out
 
-
-def _count(path: str, rule: str):
+def _count(path: str, pattern: str, rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, width = _tokenizer(path)
+        encode, width = _tokenizer(path, pattern)
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 cut = offsets.tolist()
                 raw = data.tobytes()
-                ids = [e.ids for e in tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(cut[:-1], cut[1:], strict=True)], add_special_tokens=False)]
+                ids = [encode(raw[a:b].decode()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 rows = [[], [], [], [], [], []]
                 for k, (a, b, mine) in enumerate(zip(cut[:-1], cut[1:], ids, strict=True)):
                     text = data[a:b]
@@ -100,12 +98,12 @@ def _count(path: str, rule: str):
     return run
 
 
-def token_counts(docs: DataFrame, *, path: str, rule: str = "most") -> DataFrame:
-    """A row for each section of ``docs(doc_id, text)``. ``path``: a byte-level tokenizer without a normaliser."""
-    return docs.select("doc_id", "text").mapInArrow(_count(path, rule), COUNTS)
+def token_counts(docs: DataFrame, *, path: str, pattern: str, rule: str = "most") -> DataFrame:
+    """A row for each section of ``docs(doc_id, text)``. ``path``: ranks of a byte-level tokenizer; ``pattern``: its pre-tokens."""
+    return docs.select("doc_id", "text").mapInArrow(_count(path, pattern, rule), COUNTS)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(read(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts(read(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)

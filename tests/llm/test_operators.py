@@ -131,8 +131,8 @@ def test_token_counts(spark, docs, rule):
 
     from millrace.llm.token_counts import token_counts
 
-    path = P.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
+    ranks = {"path": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     extra = spark.createDataFrame([(300, "a\n\n\nb c\n d🙂\n🙂"), (301, "\n"), (302, "x\r\n\r\ny")], "doc_id bigint, text string")
     df = docs.select("doc_id", "text").unionByName(extra).where("doc_id >= 200")
@@ -150,9 +150,9 @@ def test_token_counts(spark, docs, rule):
             else:
                 c[held.index(max(held)) if rule == "most" else next(i for i, h in enumerate(held) if h)] += 1
         want |= {(r["doc_id"], i): (b[i], b[i + 1], round(n, 9)) for i, n in enumerate(c)}
-    got = {(r["doc_id"], r["section"]): (r["begin"], r["end"], round(r["tokens"], 9)) for r in token_counts(df, path=path, rule=rule).collect()}
+    got = {(r["doc_id"], r["section"]): (r["begin"], r["end"], round(r["tokens"], 9)) for r in token_counts(df, **ranks, rule=rule).collect()}
     assert got == want
-    assert token_counts(df.limit(0), path=path).count() == 0
+    assert token_counts(df.limit(0), **ranks).count() == 0
 
 
 def test_packing(spark, docs, scratch):
