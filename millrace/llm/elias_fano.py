@@ -9,7 +9,7 @@ _ONE = np.uint64(1)
 
 
 def build(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of a monotone sequence: ``meta`` (length, low bits, last value), ``low``, ``high`` and the ranks at every 512 high bits."""
+    """Arrays of a monotone sequence: ``meta`` (length, low bits, last value), ``low``, ``high`` and the number of ones before each word of it."""
     n = len(x)
     top = int(x[-1]) if n else 0
     bits = max(0, (top // max(1, n)).bit_length() - 1) if top > n else 0
@@ -20,36 +20,27 @@ def build(x: np.ndarray) -> dict[str, np.ndarray]:
     low = np.packbits(low.reshape(-1), bitorder="little")
     low = np.concatenate([low, np.zeros(-len(low) % 8 + 8, np.uint8)]).view(np.uint64)
     size = n + (top >> bits) + 2
-    size += -size % 512
+    size += -size % 64
     high = np.zeros(size, np.uint8)
     high[(x >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
-    ranks = np.append(0, np.cumsum(high.reshape(-1, 512).sum(1, dtype=np.int64)))
-    return {"meta": np.array([n, bits, top], np.int64), "low": low, "high": np.packbits(high, bitorder="little").view(np.uint64), "ranks": ranks}
+    high = np.packbits(high, bitorder="little").view(np.uint64)
+    ranks = np.append(0, np.cumsum(np.bitwise_count(high), dtype=np.int64))
+    return {"meta": np.array([n, bits, top], np.int64), "low": low, "high": high, "ranks": ranks}
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.bits, self.top = map(int, arrays["meta"])
         self.low, self.high, self.ones = arrays["low"], arrays["high"], np.asarray(arrays["ranks"])
-        self.zeros = np.arange(len(self.ones)) * 512 - self.ones
+        self.zeros = np.arange(len(self.ones)) * 64 - self.ones
 
     def _select(self, i: np.ndarray, ranks: np.ndarray, flip: bool) -> np.ndarray:
         """Place of bit number i (from 0) that is set, or clear if ``flip``."""
-        block = np.searchsorted(ranks, i, "right") - 1
-        k = i - ranks[block]
-        word = block * 8
-        counts = np.bitwise_count(self.high[word[:, None] + np.arange(8)]).astype(np.int64)
-        if flip:
-            counts = 64 - counts
-        total = np.cumsum(counts, 1)
-        step = (total <= k[:, None]).sum(1)
-        k = k - np.where(step, np.take_along_axis(total, np.maximum(step - 1, 0)[:, None], 1)[:, 0], 0)
-        word += step
-        w = self.high[word]
+        word = np.searchsorted(ranks, i, "right") - 1
+        k, w = (i - ranks[word]).astype(np.uint64), self.high[word]
         if flip:
             w = ~w
         at = word * 64
-        k = k.astype(np.uint64)
         for s, mask in _MASKS:
             c = np.bitwise_count(w & mask).astype(np.uint64)
             over = k >= c

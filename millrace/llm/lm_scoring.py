@@ -335,8 +335,11 @@ def successor(arrays: dict[str, np.ndarray], name: str, parent: np.ndarray, word
     pointer, child = _sequences(arrays, name)
     if not child.n:
         return np.full(len(parent), -1, np.int64)
+    own = np.append(True, parent[1:] != parent[:-1])  # parents come in order, so each is read once
+    turn, parent = np.cumsum(own) - 1, parent[own]
     begin, end = pointer.get(parent), pointer.get(parent + 1)
     base = np.where(begin > 0, child.get(np.maximum(begin - 1, 0)) + 1, 0)
+    begin, end, base = begin[turn], end[turn], base[turn]
     return child.find(base + word, begin, end)
 
 
