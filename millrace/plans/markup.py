@@ -52,6 +52,13 @@ def css_title(spark, sf_dir):
     return r.select("page_id", t.alias("title"), t.isNull().alias("missing"))
 
 
+@query()
+def css_title_all(spark, sf_dir):
+    """Every page: titles with entities, unclosed ones and pages without one too, which the SQL of ``css_title`` leaves out."""
+    t = F.try_element_at(udf.css(F.col("body"), "title"), F.lit(1))
+    return responses(spark, sf_dir).select("page_id", F.nullif(t, F.lit("")).alias("title"), t.isNull().alias("missing"))
+
+
 @query()
 def plan_extract_assess(spark, sf_dir):
     out = compiler.assess(PLAN, compiler.extract(PLAN, responses(spark, sf_dir)))

@@ -195,6 +195,14 @@ def test_stream_windows(spark, tmp_path):
     assert sorted((r["user"], r["n"]) for r in spark.table("out_w").collect()) == [(1, 1), (1, 2), (2, 1)]
 
 
+def test_titles_of_all_pages(spark, tmp_path):
+    from millrace.plans import markup
+
+    pages = {"<title>a &amp;&amp; b</title>": ("a && b", False), "<title>plain\n one</title>": ("plain one", False), "<title>c&#39;d": ("c'd", False), "<p>none": (None, True), "<title> </title><p>x": (None, False), "": (None, True), None: (None, True)}
+    spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(rows(markup.css_title_all(spark, str(tmp_path)))) == [(i, *x) for i, x in enumerate(pages.values())]
+
+
 def test_text_columns(spark):
     d = spark.createDataFrame([("<p>a</p><script>x</script> <b>c</b>", "image/png", "P1DT1S")], "h string, m string, d string")
     assert rows(d.select(text.visible_text(F.col("h")), text.mime_kind(F.col("m")), text.iso_duration_seconds(F.col("d")))) == [("a c", "image", 86401.0)]
