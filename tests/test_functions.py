@@ -85,6 +85,19 @@ def test_bloom(spark):
     assert dict(got)[True] == 1000 and dict(got)[False] < 50
 
 
+def test_bloom_asks_all_documents(spark, tmp_path):
+    from millrace.plans import markup
+
+    spark.range(6000).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, 6000, 3).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/labels.parquet")
+    got = dict(rows(markup.bloom_membership_all(spark, str(tmp_path))))
+    assert len(got) == 6000 and all(got[i] for i in range(0, 6000, 3))
+    wrong = sum(got[i] for i in range(6000) if i % 3)
+    assert 4 <= wrong <= 120  # of 4000; a filter with room for many more keys would make none
+    spark.range(0).withColumnRenamed("id", "doc_id").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert not any(dict(rows(markup.bloom_membership_all(spark, str(tmp_path)))).values())
+
+
 def test_json_changes(spark):
     d = spark.createDataFrame([('{"b":1.0,"a":[1,{"c":null}]}', "{")], "x string, y string")
     assert rows(d.select(udf.stable_json(F.col("x")), udf.stable_json(F.col("y")))) == [('{"a":[1,{"c":null}],"b":1}', None)]
