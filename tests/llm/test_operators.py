@@ -182,6 +182,41 @@ def test_packing(spark, docs, scratch):
     assert pack(docs.limit(0), scratch, path=path).count() == 0
 
 
+def test_best_fit_of_counts():
+    from millrace.llm.packing import best_fit, best_fit_counts
+
+    rng = np.random.default_rng(4)
+    for top, n in ((100, 500), (100, 7), (30, 900), (12, 50), (100, 0)):
+        sizes = rng.integers(1, top + 1, n).tolist()
+        counts = Counter(sizes)
+        runs, ranges = best_fit_counts(counts, 100)
+        fills, placed = defaultdict(list), Counter()
+        for i, (s, rank, first, each, offset) in enumerate(runs.tolist()):
+            end = runs[i + 1][1] if i + 1 < len(runs) and runs[i + 1][0] == s else counts[s]
+            placed[s] += end - rank
+            for at in range(end - rank):
+                fills[first + at // each].append((offset + at % each * s, s))
+        assert placed == counts and sorted(fills) == list(range(len(best_fit(sizes, 100))))
+        for k, x in fills.items():
+            assert [a for a, _ in sorted(x)] == [0, *np.cumsum([s for _, s in sorted(x)]).tolist()][:-1]
+            assert 100 - sum(s for _, s in x) == ranges[np.searchsorted(ranges[:, 0], k, "right") - 1, 1]
+
+
+def test_packing_over_groups(spark, scratch):
+    import public_tokenizers as P
+
+    from millrace.llm.packing import best_fit, pack
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, " ".join(["stone"] * int(n))) for i, n in enumerate(rng.permutation([29, 33] * 1500))], "doc_id bigint, text string").repartition(5)
+    rows = pack(df, scratch, path=P.path("word_bpe_49k.json"), capacity=64, group=50, fan_in=4).collect()
+    bins = Counter()
+    for r in rows:
+        bins[r["sequence_id"]] += r["length"]
+    assert len(rows) == 3000 and max(bins.values()) <= 64
+    assert len(bins) <= len(best_fit([r["length"] for r in rows], 64))
+
+
 def test_local_search_empties_bins():
     from millrace.llm.packing import best_fit, improve
 
