@@ -6,7 +6,8 @@ numbers, so the driver packs counts and a piece finds its bin by its rank among
 Bins with room are then dealt by hash to groups of about ``group`` pieces and improved by local search:
 moving one piece, exchanging one for one or two for one between underfull bins whenever that raises the
 sum of squared fills, until bins empty or nothing helps. Every group hands its ``hand_up`` emptiest bins
-to a coarser group, until one group is left; other bins are exchanged inside their group only. No step
+to a coarser group, until one group is left; other bins are exchanged inside their group only. The search
+is left out when all bins together have less room than one holds, as it can save none then. No step
 adds a bin, so there are never more than best-fit decreasing of the whole table needs.
 
 A null text is empty and takes the closing id alone. Repeated rows are packed as often as they occur.
@@ -89,7 +90,7 @@ def best_fit_counts(counts: dict[int, int], capacity: int) -> tuple[np.ndarray,
 
     Pieces of a size fill the tightest bin as often as they fit, then the next one, so that bins of equal
     room are filled in runs: rows (size, first rank, first bin, pieces a bin, offset), by size and rank.
-    The second table has ranges of bins with equal room: rows (first bin, room), by bin.
+    The second table has ranges of bins with equal room: rows (first bin, room, number of bins), by bin.
     """
     room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
     mask, bins, runs = 0, 0, []
@@ -116,8 +117,8 @@ def best_fit_counts(counts: dict[int, int], capacity: int) -> tuple[np.ndarray,
             if n:
                 room[r].append((first, n))
                 mask |= 1 << r
-    ranges = sorted((first, r) for r, x in enumerate(room) for first, _ in x)
-    return np.array(sorted(runs), np.int64).reshape(-1, 5), np.array(ranges, np.int64).reshape(-1, 2)
+    ranges = sorted((first, r, n) for r, x in enumerate(room) for first, n in x)
+    return np.array(sorted(runs), np.int64).reshape(-1, 5), np.array(ranges, np.int64).reshape(-1, 3)
 
 
 def _place(shared):
@@ -136,14 +137,24 @@ def _place(shared):
     return run
 
 
+def _choices(pieces: list[int], sizes: list[int]) -> tuple[list, list]:
+    """One piece of each size of a bin, and one pair of each two sizes. Equal sizes are as good as each other, so full bins of short texts have few."""
+    by_size: dict[int, list[int]] = {}
+    for i in pieces:
+        by_size.setdefault(sizes[i], []).append(i)
+    one = [(s, (x[0],)) for s, x in by_size.items()]
+    two = [(s + t, (*i, *j)) for k, (s, i) in enumerate(one) for t, j in one[:k]]
+    return one, two + [(2 * s, (x[0], x[1])) for s, x in by_size.items() if len(x) > 1]
+
+
 def _gain(low: list[int], high: list[int], sizes: list[int], gap: int) -> tuple[int, tuple, tuple]:
     """Most ids that a move or exchange brings from ``low`` into ``high`` within ``gap``."""
     best = (0, (), ())
-    out = [(0, ())] + [(sizes[i], (i,)) for i in high]
-    into = [(sizes[i], (i,)) for i in low]
-    pairs = [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(low) for j in low[:k]] if len(low) <= 24 else []
-    two = [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(high) for j in high[:k]] if len(high) <= 24 else []
-    for give, take in ((into, out), (pairs, out[1:]), (into, two)):
+    into, pairs = _choices(low, sizes)
+    out, two = _choices(high, sizes)
+    for give, take in ((into, [(0, ()), *out]), (pairs, out), (into, two)):
+        if best[0] == gap:
+            break
         take = sorted(take)
         for s, x in give:
             # the smallest exchange that still fits brings most
@@ -159,18 +170,19 @@ def _gain(low: list[int], high: list[int], sizes: list[int], gap: int) -> tuple[
     return best
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, receivers: int = 64) -> list[list[int]]:
-    """Local search from the emptiest bins up; ``receivers`` bins with most room are tried as partners in a pass."""
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Local search from the emptiest bins up, with every other underfull bin that is at least as full as partner."""
     fill = [sum(sizes[i] for i in b) for b in bins]
     changed = True
     while changed:  # every change raises the sum of squared fills, so this ends
         changed = False
         open_bins = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
-        for low in open_bins[: len(open_bins) // 2 + 1][:receivers]:
+        for low in open_bins:
             while bins[low] and fill[low] < capacity:
-                others = sorted((k for k in open_bins if k != low and fill[low] <= fill[k] < capacity and bins[k]), key=lambda k: (fill[k], k))[:receivers]
                 best = (0, (), (), -1)
-                for k in others:
+                for k in sorted((k for k in open_bins if k != low and fill[low] <= fill[k] < capacity and bins[k]), key=lambda k: (fill[k], k)):
+                    if capacity - fill[k] <= best[0]:  # this and all fuller bins have no room for more
+                        break
                     found = _gain(bins[low], bins[k], sizes, capacity - fill[k])
                     if found[0] > best[0]:
                         best = (*found, k)
@@ -220,6 +232,8 @@ def pack(docs: DataFrame, scratch: Scratch, *, path: str, capacity: int = 2048,
     schema = PIECES.removesuffix(", part int, rank bigint") + ", g bigint, sequence_id bigint, offset bigint, up boolean"
     packed = scratch.save(ranked.mapInArrow(_place(docs.sparkSession.sparkContext.broadcast(plan)), schema), "packed")
     scratch.drop_but(packed)
+    if (plan[1][:, 1] * plan[1][:, 2]).sum() < capacity:  # less room in all bins than one holds: no search saves one
+        return packed.drop("g", "up")
     done, level = [packed.where("not up")], 0
     groups = max(1, -(-packed.where("up").count() // group))
     now = packed.where("up").withColumn("g", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))

@@ -232,6 +232,15 @@ def test_local_search_empties_bins():
     assert len(improve([[0, 3], [1, 2], [4]], sizes, 10)) == 2
 
 
+def test_local_search_is_whole():
+    from millrace.llm.packing import improve
+
+    after = improve([[0], list(range(1, 27))], [5] + [2] * 26, 53)  # one for two in a bin of many pieces
+    assert sorted(len(b) for b in after) == [2, 25]
+    # the only partner that helps is behind 69 emptier ones
+    assert len(improve([[i] for i in range(70)] + [[70, 71]], [6] * 70 + [4, 4], 10)) == 70
+
+
 # ---------------------------------------------------------------- op3
 
 
