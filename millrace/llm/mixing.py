@@ -149,11 +149,17 @@ def draw(sized: DataFrame, scratch: Scratch, keep: DataFrame | None = None, *, w
     return out.select("row", "doc_id", "block", "words", "epoch", "shard", F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "block", "epoch").alias("order_key")), goal
 
 
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Shard after shard, shuffled inside a shard."""
+    return blocks.repartition("shard", F.pmod("order_key", F.lit(16))).sortWithinPartitions("shard", "order_key")
+
+
 def mix(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """Per row of ``docs(doc_id, text, source)``: doc_id, size, source_size, target, taken."""
+    """Per row of ``docs(doc_id, text, source)``: doc_id, size, source_size, target, taken, which is counted in the shards as written."""
     sized = scratch.save(docs.select("doc_id", "source", word_count("text").alias("size")).withColumn("row", F.monotonically_increasing_id()), "sizes")
     drawn, goal = draw(sized, scratch, sized, **options)
-    taken = drawn.groupBy("row").agg(F.sum("words").alias("taken"))
+    shards = scratch.save(_dealt(drawn), "shards")
+    taken = shards.groupBy("row").agg(F.sum("words").alias("taken"))
     out = sized.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).join(taken, "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -163,7 +169,7 @@ def mixed_rows(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     kept = scratch.save(docs.select(F.struct("*").alias("doc"), "doc_id", "source", word_count("text").alias("size")).withColumn("row", F.monotonically_increasing_id()), "rows")
     drawn, _ = draw(kept.select("row", "doc_id", "source", "size"), scratch, kept, block_words=None, **options)
     out = kept.select("row", "doc").join(drawn.select("row", "shard", "order_key"), "row")
-    return out.repartition("shard", F.pmod("order_key", F.lit(16))).sortWithinPartitions("shard", "order_key").select("doc.*")
+    return _dealt(out).select("doc.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

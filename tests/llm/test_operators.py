@@ -513,6 +513,19 @@ def test_splitting_tree(spark, docs, scratch):
     assert len({(r["row"], r["block"], r["epoch"]) for r in rows}) == len(rows)
 
 
+def test_mix_counts_written_shards(spark, docs, scratch):
+    from millrace.llm.mixing import mix
+
+    out = mix(docs, scratch, block_words=16, shard_words=3000).collect()
+    [shards] = [t for t, path in scratch._held if path.endswith("-shards")]
+    rows = shards.selectExpr("*", "input_file_name() AS f", "monotonically_increasing_id() AS at").collect()
+    files = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["at"]):
+        files[r["f"]].append((r["shard"], r["order_key"]))
+    assert len({r["shard"] for r in rows}) > 8 and all(x == sorted(x) for x in files.values())
+    assert sum(r["words"] for r in rows) == sum(r["taken"] for r in out)
+
+
 # ---------------------------------------------------------------- components
 
 
