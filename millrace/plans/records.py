@@ -218,12 +218,25 @@ def change_state_by_hash(spark, sf_dir):
     SELECT n.id AS doc_id, CASE WHEN o.id IS NULL THEN 'new-url' WHEN o.source <> n.source THEN 'etag' WHEN md5(o.text) = md5(n.text) THEN 'unchanged' WHEN abs(n.n_chars - o.n_chars) < 0.1 * o.n_chars THEN 'length-threshold' ELSE 'content-diff' END AS reason FROM n LEFT JOIN o ON n.id = o.id""")
 def incremental_reason(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    n = d.where("doc_id % 2 = 1").select("doc_id", "source", F.md5("text").alias("h"), "n_chars")
-    o = d.where("doc_id % 2 = 0").select((F.col("doc_id") + 1).alias("doc_id"), F.col("source").alias("os"), F.md5("text").alias("oh"), F.col("n_chars").alias("on"), F.lit(1).alias("known"))
+    return _reasons(d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0"))
+
+
+def _reasons(now, before):
+    """Why each row of ``now`` is read again, against the row of ``before`` with the id one less."""
+    n = now.select("doc_id", "source", F.md5("text").alias("h"), "n_chars")
+    o = before.select((F.col("doc_id") + 1).alias("doc_id"), F.col("source").alias("os"), F.md5("text").alias("oh"), F.col("n_chars").alias("on"), F.lit(1).alias("known"))
     reason = F.when(F.col("known").isNull(), "new-url").when(F.col("os") != F.col("source"), "etag").when(F.col("oh") == F.col("h"), "unchanged").when(F.abs(F.col("n_chars") - F.col("on")) < 0.1 * F.col("on"), "length-threshold").otherwise("content-diff")
     return n.join(o, "doc_id", "left").select("doc_id", reason.alias("reason"))
 
 
+@query("""SELECT n.doc_id, CASE WHEN o.doc_id IS NULL THEN 'new-url' WHEN o.source <> n.source THEN 'etag' WHEN md5(o.text) = md5(n.text) THEN 'unchanged' WHEN abs(n.n_chars - o.n_chars) < 0.1 * o.n_chars THEN 'length-threshold' ELSE 'content-diff' END AS reason
+    FROM documents n LEFT JOIN documents o ON o.doc_id = n.doc_id - 1""")
+def incremental_reason_all(spark, sf_dir):
+    """Every document against the one before it; ``incremental_reason`` judges odd ids only, as its SQL does."""
+    d = table(spark, sf_dir, "documents")
+    return _reasons(d, d)
+
+
 @query("""WITH p AS (SELECT a.doc_id, unnest([{'f': 'quality', 'o': a.quality, 'n': b.quality}, {'f': 'toxic', 'o': a.toxic, 'n': b.toxic}]) AS x FROM labels a JOIN labels b ON b.doc_id = a.doc_id + 1)
     SELECT doc_id, x.f AS field, 'updated' AS kind, x.o AS previous, x.n AS current FROM p WHERE x.o IS DISTINCT FROM x.n""")
 def field_diff_explode(spark, sf_dir):

@@ -98,6 +98,14 @@ def test_bloom_asks_all_documents(spark, tmp_path):
     assert not any(dict(rows(markup.bloom_membership_all(spark, str(tmp_path)))).values())
 
 
+def test_reasons_of_all_documents(spark, tmp_path):
+    from millrace.plans import records
+
+    d = [(1, "s", "a", 100), (2, "s", "a", 100), (3, "s", "b", 105), (4, "s", "c", 300), (5, "t", "c", 300), (8, "t", "c", 300)]
+    spark.createDataFrame(d, "doc_id bigint, source string, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(rows(records.incremental_reason_all(spark, str(tmp_path)))) == {1: "new-url", 2: "unchanged", 3: "length-threshold", 4: "content-diff", 5: "etag", 8: "new-url"}
+
+
 def test_json_changes(spark):
     d = spark.createDataFrame([('{"b":1.0,"a":[1,{"c":null}]}', "{")], "x string, y string")
     assert rows(d.select(udf.stable_json(F.col("x")), udf.stable_json(F.col("y")))) == [('{"a":[1,{"c":null}],"b":1}', None)]
