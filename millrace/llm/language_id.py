@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -204,23 +204,29 @@ class Reader:
 
 
 def train(docs: DataFrame, *, sample: int = 4000, window: int = 64, epochs: int = 6, languages: int = 1000) -> dict | None:
-    """Model from ``docs(doc_id, text, lang)``, or None if no text has a language. It learns the ``languages`` most frequent ones."""
+    """Model from ``docs(doc_id, text, lang)``, or None if no text has a language. It learns all of them; windows of the ``languages`` most frequent ones are picked one by one, those of others together."""
     known = docs.where(fold("doc_id", 4) != 2).where("lang is not null and doc_id is not null and length(text) > 0")
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
-    if not langs:
+    by_count = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    if not by_count:
         return None
+    langs, common = sorted(by_count), sorted(by_count[:languages])
     each = -(-sample // len(langs))
     picked = None
-    for lang in langs:
+    for lang in common:
         one = known.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         picked = one if picked is None else picked.unionByName(one)
+    if len(common) < len(langs):
+        # none of these has more than a ``languages``-th of the rows, so no task gets many
+        rare = known.where(~F.col("lang").isin(common)).select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("n"))
+        picked = picked.unionByName(rare.where(F.col("n") <= each).drop("n"))
     size = F.octet_length("text")
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(size - window, F.lit(0)) + 1)
     cut = F.substring(F.col("text").cast("binary"), (at + 1).cast("int"), F.lit(window))
-    # at most sample ids: a bounded side
+    # sample ids and one more a language at most: a bounded side
     rows = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", cut.alias("bytes")).toArrow().to_pylist()
     rows = sorted((r["lang"], r["bytes"]) for r in rows)
-    labels = np.array([langs.index(lang) for lang, _ in rows])
+    place = {lang: i for i, lang in enumerate(langs)}
+    labels = np.array([place[lang] for lang, _ in rows])
     return {"langs": langs, "net": train_network([b for _, b in rows], labels, len(langs), epochs=epochs)}
 
 

@@ -121,6 +121,17 @@ def test_language_id(spark, docs):
     assert {r["lang_pred"] for r in identify(df.select("doc_id", "text"), None).collect()} == {"und"}
 
 
+def test_language_id_learns_rare_ones(spark):
+    from millrace.llm.language_id import train
+
+    words = {"de": "der und die haus wasser nicht", "en": "the and water house never bright", "zz": "qxq zvz xkx qzq vkv"}
+    rows = [(i, prose(40, i, words[lang]), lang) for i, lang in enumerate(["de"] * 120 + ["en"] * 100 + ["zz"] * 60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    few, all_ = train(df, sample=90, epochs=1, languages=1), train(df, sample=90, epochs=1)
+    assert few["langs"] == all_["langs"] == ["de", "en", "zz"]
+    assert all(np.array_equal(few["net"][k], v) for k, v in all_["net"].items())  # from the same windows
+
+
 # ---------------------------------------------------------------- op2, op5
 
 
