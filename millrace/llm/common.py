@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +15,14 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_WINDOW = 1 << 19
+_SHORT = 15
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+#: A key is a hub when it holds more rows than both of these: this many, and one in _HUBS of all. So there are fewer than _HUBS hubs.
+_FEW, _HUBS = 64, 2048
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -30,12 +32,14 @@ class Scratch:
     """Tables in the folder that all executors share (``spark.checkpoint.dir``).
 
     Writing a table cuts the lineage, so lost executors cost one stage at most. A folder of its own
-    is made only where the setting is unset, as in local tests.
+    is made only where the setting is unset and Spark runs in one process, as in local tests.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             base = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -116,16 +120,6 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         i = j
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, _WINDOW)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
-
-
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word of concatenated texts."""
     blank = _BLANK[data]
@@ -141,25 +135,53 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, stops[np.searchsorted(stops, starts, "right")] if len(starts) else starts.copy()
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of spans, in order of start; A-Z count as a-z if ``lower``.
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Identity of spans as two 64-bit numbers; A-Z count as a-z if ``lower``.
 
-    A polynomial hash modulo 2**64, read off one running sum, then scrambled. Works through windows
-    of a few MB, so that a very long text needs no more memory for it.
+    Up to 15 bytes are their own key, with their number in the top byte, so short words never collide.
+    A longer span's key is a 120-bit BLAKE2 digest under a top byte that no length has.
     """
-    out = np.empty(len(starts), np.uint64)
-    k = 0
-    while k < len(starts):
-        m = max(k + 1, int(np.searchsorted(ends, starts[k] + _WINDOW, "right")))
-        lo, hi = int(starts[k]), int(ends[m - 1])
-        piece = data[lo:hi]
-        up, down = _pow(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(((_LOWER[piece] if lower else piece).astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
-        s, e = starts[k:m] - lo, ends[k:m] - lo
-        out[k:m] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        k = m
-    return mix(out)
+    size = ends - starts
+    text = np.concatenate([_LOWER[data] if lower else data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    lo = eight[starts] & _KEEP[np.minimum(size, 8)]
+    hi = eight[np.minimum(starts + 8, len(text) - 8)] & _KEEP[np.clip(size - 8, 0, 7)] | size.astype(np.uint64) << np.uint64(56)
+    far = np.flatnonzero(size > _SHORT)
+    if len(far):
+        raw = memoryview(text)
+        digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)])
+        two = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        lo[far], hi[far] = two[:, 0], two[:, 1] | np.uint64(0xFF << 56)
+    return lo, hi
+
+
+def key_hash(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hashes of two-part keys."""
+    return mix(mix(hi + np.uint64(0x9E3779B97F4A7C15)) + lo)
+
+
+def factorize(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each key, and where each code first stands. Unlike keys of one hash are told apart."""
+    code, distinct = pd.factorize(key_hash(lo, hi))
+    first = first_places(code, len(distinct))
+    if ((lo != lo[first[code]]) | (hi != hi[first[code]])).any():
+        order = np.lexsort((hi, lo))
+        new = np.append(True, (lo[order[1:]] != lo[order[:-1]]) | (hi[order[1:]] != hi[order[:-1]]))
+        code = np.empty(len(lo), np.int64)
+        code[order] = np.cumsum(new) - 1
+        first = first_places(code, int(new.sum()))
+    return code, first
+
+
+def first_places(code: np.ndarray, n: int) -> np.ndarray:
+    at = np.empty(n, np.int64)
+    at[code[::-1]] = np.arange(len(code))[::-1]
+    return at
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of spans, in order of start; A-Z count as a-z if ``lower``."""
+    return key_hash(*word_keys(data, starts, ends, lower))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +190,24 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return starts, ends, hash_spans(data, starts, ends, lower)
 
 
-# ---------------------------------------------------------------- components
+# ---------------------------------------------------------------- hubs and components
+
+
+def least_of_hub(rows: int) -> int:
+    return max(_FEW, rows // _HUBS)
+
+
+def look_up(left: DataFrame, key: str | list[str], table: DataFrame, hot: DataFrame) -> DataFrame:
+    """``left.join(table, key)`` for a table with one row a key. ``hot``: its rows for hubs, fewer than _HUBS, which meet by broadcast; no hub is shuffled."""
+    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    cold = marked.where("_hot is null").select(left.columns).join(table, key)
+    return cold.unionByName(marked.where("_hot").drop("_hot"))
+
+
+def hub_join(left: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``look_up`` with the hubs of ``left``, a stored table."""
+    hubs = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least_of_hub(left.count())).select(key)
+    return look_up(left, key, table, table.join(F.broadcast(hubs), key, "left_semi"))
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -176,27 +215,30 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 
     Hash-min with contraction: each round points every node at the smallest of itself and its
     neighbours, follows the pointers once more, renames the edges and drops loops and repeats.
-    Every round is a partial-aggregated min and joins, so a hub of any degree is no hot group.
+    Minima are partial aggregates; hubs (by degree, which bounds how many nodes point at one) are looked up by broadcast.
     """
     e = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     chain: list[DataFrame] = []
-    while not e.isEmpty():
+    while n := e.count():
+        least = least_of_hub(2 * n)
         both = e.select(F.col("a").alias("id"), F.col("b").alias("to")).unionAll(e.select(F.col("b").alias("id"), F.col("a").alias("to")))
-        m = scratch.save(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("m")), "min")
-        up = m.select(F.col("id").alias("m"), F.col("m").alias("top"))
-        m = scratch.save(m.join(up, "m").select("id", F.col("top").alias("m")), "jump")
+        m = scratch.save(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("m"), F.count(F.lit(1)).alias("degree")), "min")
+        up = m.select(F.col("id").alias("m"), F.col("m").alias("top"), "degree")
+        m = scratch.save(look_up(m, "m", up.drop("degree"), up.where(F.col("degree") > least).drop("degree")).select("id", F.col("top").alias("m"), "degree"), "jump")
         chain.append(m)
-        a = m.select(F.col("id").alias("a"), F.col("m").alias("na"))
-        b = m.select(F.col("id").alias("b"), F.col("m").alias("nb"))
-        e = e.join(a, "a").join(b, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-        e = scratch.save(e, "edges")
+        for own in "ab":
+            to = m.select(F.col("id").alias(own), F.col("m").alias("n" + own), "degree")
+            e = look_up(e, own, to.drop("degree"), to.where(F.col("degree") > least).drop("degree"))
+        e = scratch.save(e.where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), "edges")
     if not chain:
         return edges.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
     out = chain[0].select("id", F.col("m").alias("component"))
     for m in chain[1:]:
-        step = m.select(F.col("id").alias("component"), F.col("m").alias("next"))
-        out = out.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-    return scratch.save(out, "components")
+        # a component without edges of its own keeps its name
+        roots = out.select("component").distinct().join(m.select(F.col("id").alias("component"), "m"), "component", "left")
+        step = scratch.save(roots.select("component", F.coalesce("m", "component").alias("next")), "step")
+        out = scratch.save(hub_join(out, "component", step).select("id", F.col("next").alias("component")), "renamed")
+    return out
 
 
 class Forest:

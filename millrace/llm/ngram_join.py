@@ -3,21 +3,31 @@
 Two texts link when the Jaccard similarity of their sets of distinct word shingles reaches the
 threshold. The plan:
 
-1. Every text becomes a set of shingle hashes; equal sets are one class, named by a fingerprint.
+1. Every text becomes a set of 64-bit shingle hashes; equal sets are one class, named by a fingerprint.
 2. Hashes go, packed in blobs, to buckets by hash; a bucket counts in how many classes each occurs.
    A hash of one class can't help a pair, so only shared ones go back to their classes.
 3. A class whose rare prefix (rarest first, the first n - ceil(t n) + 1) holds shared hashes is a
    candidate. Prefix hashes in common make coarse groups, a superset of the wanted components.
+   A hash first joins the classes that lie together, so a frequent one is an entry a bucket of classes.
 4. Inside a group an inverted index over the shared hashes is searched with DivideSkip: the short
    lists are heap-merged, the long ones binary-probed, and a class is kept when its count reaches
    the overlap that the threshold asks of the two sizes. The count is the exact intersection.
-5. A group over ``block`` classes is split: each block is searched together with a few pivots of
-   the group; if that doesn't join the whole group, what is outside its largest component is
-   searched against every block. No pair that could add a link to the components is skipped.
-
-Null and empty texts have an empty set and link with nothing. Repeated rows and exact copies share a
-class. A null doc_id gets a null component. Other columns of the input are ignored. Hashes keep
-their bucket's bits and 40 more; a class fingerprint has 64 bits in the join (128 in the class table).
+5. A group over ``block`` classes is first split by size: sizes of a linked pair differ by a factor of
+   1 / t at most, so they meet in one of the overlapping windows of two such steps. A window that is still
+   over ``block`` is searched in blocks, each together with a few pivots of the window; if that doesn't
+   join the whole of it, what is outside its largest component is searched against every block.
+   No pair that could add a link to the components is skipped.
+
+Buckets follow the number of shingles in the table (``per_bucket``), in two rounds of dealing where they need over
+``round_bits`` bits (8 at least), so a task holds about as much whatever the table's size. Sums by a key and look-ups treat hubs apart.
+
+Null and empty texts have an empty set and link with nothing. An empty table gives an empty result. A very
+long text is one set like any other, hashed piece by piece. Repeated rows and exact copies share a
+class. A null doc_id gets a null component. Other columns of the input are ignored.
+
+Identity: words of up to 15 bytes are told apart exactly, longer ones by 120-bit digests. Shingles have 64
+bits: two texts of n shingles are counted wrongly with a chance of n^2 / 2^64. Classes are told apart by 128
+bits; the 64 that travel are made unique, by new keys for classes that clash (``fp_bits`` fewer make more of them).
 """
 
 from __future__ import annotations
@@ -32,10 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components, mix, parts, read, text_chunks, tidy, words
-
-_LOW = np.uint64(40)
-_MASK = np.uint64((1 << 40) - 1)
+from .common import Forest, Scratch, components, hub_join, least_of_hub, look_up, mix, parts, read, text_chunks, tidy, words
 
 
 # ---------------------------------------------------------------- sets
@@ -71,13 +78,17 @@ def fingerprints(sizes: np.ndarray, sets: np.ndarray, seed: int) -> np.ndarray:
     return mix(total[cut[1:]] - total[cut[:-1]] + sizes.astype(np.uint64)).view(np.int64)
 
 
-def _class_rows(n: int):
+def _short(size: np.ndarray, sets: np.ndarray, bits: int) -> np.ndarray:
+    return fingerprints(size, sets, 1) & np.int64((1 << bits) - 1 if bits < 64 else -1)
+
+
+def _class_rows(n: int, fp_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, one, two = [], [], []
             for _, size, sets in shingle_sets(batch.column(1), n):
                 sizes.append(size)
-                one.append(fingerprints(size, sets, 1))
+                one.append(_short(size, sets, fp_bits))
                 two.append(fingerprints(size, sets, 2))
             if sizes:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], ["doc_id", "n", "fp", "fp2"])
@@ -90,105 +101,169 @@ def _class_rows(n: int):
 
 
 def _pack(tok: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tok.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return np.ascontiguousarray(tok.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+def _unpack(blob: bytes, bucket: int, bits: int) -> np.ndarray:
+    """Whole hashes of a bucket, which tells their top byte."""
+    out = np.zeros((len(blob) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(blob, np.uint8).reshape(-1, 7)
+    out[:, 7] = bucket >> (bits - 8)
     return out.view("<u8").reshape(-1)
 
 
-def _by_bucket(n: int, bits: int, flush: int = 1 << 20):
-    """Texts to (bucket, fps, sizes, idx, tok): the classes present, and for every hash its class's place and its low bits."""
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of equal values."""
+    return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)) if len(x) else np.zeros(1, np.int64)
+
+
+DEALT = "bucket int, fps binary, sizes binary, large binary, idx binary, tok binary"
+
+
+class _Dealer:
+    """Gathers (class, its hashes) and gives rows of DEALT: the classes of a bucket, and for every hash its class's place and its low bits."""
+
+    def __init__(self, bits: int, flush: int = 1 << 20, rows: int = 60_000):
+        self.bits, self.flush, self.most = bits, flush, rows  # places are 16 bits
+        self.clear()
 
-    def out(sizes, fps, toks):
-        size, fp, tok = np.concatenate(sizes), np.concatenate(fps), np.concatenate(toks)
-        bucket = (tok >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    def clear(self) -> None:
+        self.fps, self.sizes, self.counts, self.toks, self.held, self.rows = [], [], [], [], 0, 0
+
+    def add(self, fp: np.ndarray, size: np.ndarray, count: np.ndarray, tok: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``count`` hashes of each class, one class after another; size: of its whole set."""
+        cut = np.append(0, np.cumsum(count))
+        for a in range(0, len(fp), self.most):
+            b = min(a + self.most, len(fp))
+            if self.rows + b - a > self.most:
+                yield self.out()
+            for own, x in ((self.fps, fp[a:b]), (self.sizes, size[a:b]), (self.counts, count[a:b]), (self.toks, tok[cut[a] : cut[b]])):
+                own.append(x)
+            self.held += len(self.toks[-1])
+            self.rows += b - a
+            if self.held >= self.flush:
+                yield self.out()
+
+    def out(self) -> pa.RecordBatch:
+        fp, size, count, tok = (np.concatenate(x) for x in (self.fps, self.sizes, self.counts, self.toks))
+        self.clear()
+        bucket = (tok >> np.uint64(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
-        doc = np.repeat(np.arange(len(size), dtype=np.int64), size)[order]
-        tok, bucket = tok[order] & _MASK, bucket[order]
-        cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        doc = np.repeat(np.arange(len(fp), dtype=np.int64), count)[order]
+        tok, bucket = tok[order], bucket[order]
+        cut = _runs(bucket)
         rows = []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             new = np.append(True, doc[a + 1 : b] != doc[a : b - 1])
             used = doc[a:b][new]
-            rows.append((int(bucket[a]), fp[used].tobytes(), size[used].astype("<i4").tobytes(), (np.cumsum(new) - 1).astype("<u2").tobytes(), _pack(tok[a:b])))
-        names = ["bucket", "fps", "sizes", "idx", "tok"]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if not k else pa.binary()) for k in range(5)], names)
+            n = size[used]
+            rows.append((int(bucket[a]), fp[used].tobytes(), np.minimum(n, 0xFFFF).astype("<u2").tobytes(), n[n >= 0xFFFF].astype("<u4").tobytes(), (np.cumsum(new) - 1).astype("<u2").tobytes(), _pack(tok[a:b])))
+        names = ["bucket", "fps", "sizes", "large", "idx", "tok"]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if not k else pa.binary()) for k in range(6)], names)
+
+
+def _sizes(row_sizes: bytes, large: bytes) -> np.ndarray:
+    n = np.frombuffer(row_sizes, "<u2").astype(np.int64)
+    n[n == 0xFFFF] = np.frombuffer(large, "<u4")
+    return n
+
+
+def _by_bucket(n: int, bits: int, fp_bits: int, renamed: dict[tuple[int, int], int]):
+    """Texts to rows of DEALT. ``renamed``: new keys of classes whose short keys clash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, fps, toks, held, rows = [], [], [], 0, 0
+        dealer, clashing = _Dealer(bits), np.array(sorted({a for a, _ in renamed}), np.int64)
         for batch in batches:
             for _, size, sets in shingle_sets(batch.column(0), n):
+                fp = _short(size, sets, fp_bits)
+                if len(clashing):
+                    second = fingerprints(size, sets, 2)
+                    for i in np.flatnonzero(np.isin(fp, clashing) & (size > 0)).tolist():
+                        fp[i] = renamed[int(fp[i]), int(second[i])]
                 some = size > 0
-                if not some.any():
-                    continue
-                fp = fingerprints(size, sets, 1)
-                if rows + len(size) > 60_000:
-                    yield out(sizes, fps, toks)
-                    sizes, fps, toks, held, rows = [], [], [], 0, 0
-                for a in range(0, len(size), 60_000):  # places are 16 bits
-                    if a:
-                        yield out(sizes, fps, toks)
-                        sizes, fps, toks, held, rows = [], [], [], 0, 0
-                    cut = np.append(0, np.cumsum(size))
-                    part = slice(a, a + 60_000)
-                    sizes.append(size[part])
-                    fps.append(fp[part])
-                    toks.append(sets[cut[a] : cut[min(a + 60_000, len(size))]])
-                    held += len(toks[-1])
-                    rows += len(sizes[-1])
-                if held >= flush:
-                    yield out(sizes, fps, toks)
-                    sizes, fps, toks, held, rows = [], [], [], 0, 0
-        if held:
-            yield out(sizes, fps, toks)
-        sizes, fps, toks = [], [], []
+                yield from dealer.add(fp[some], size[some], size[some], sets)
+        if dealer.rows:
+            yield dealer.out()
         tidy()
 
     return run
 
 
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Bounds of the runs of equal values."""
-    return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)) if len(x) else np.zeros(1, np.int64)
+def _again(bits: int, more: int):
+    """Rows of DEALT by ``bits`` to such by ``more`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = _Dealer(more)
+        for batch in batches:
+            for bucket, fps, sizes, large, idx, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fp = np.frombuffer(fps, np.int64)
+                count = np.bincount(np.frombuffer(idx, "<u2"), minlength=len(fp))
+                yield from dealer.add(fp, _sizes(sizes, large), count, _unpack(blob, bucket, bits))
+        if dealer.rows:
+            yield dealer.out()
+
+    return run
 
 
 def _split(key: np.ndarray, bits: int, columns: list[np.ndarray], names: list[str]) -> pd.DataFrame:
     """One row of blobs for each bucket of key."""
-    bucket = (mix(key) >> np.uint64(64 - bits)).astype(np.int32)
+    bucket = (mix(key.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
     order = np.argsort(bucket, kind="stable")
     cut = _runs(bucket[order])
     rows = [(int(bucket[order[a]]), *(c[order[a:b]].tobytes() for c in columns)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return pd.DataFrame(rows, columns=["bucket", *names])
 
 
-def _shared(bits: int):
+def _split_again(bits: int, kinds: dict[str, str], flush: int = 1 << 18):
+    """Rows of blobs by the first of ``kinds``, dealt again by more bits of it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+
+        def out() -> pd.DataFrame:
+            columns = [np.concatenate([np.frombuffer(x, k) for f in held for x in f[name]]) for name, k in kinds.items()]
+            return _split(columns[0], bits, columns, list(kinds))
+
+        for frame in frames:
+            held.append(frame)
+            n += frame[next(iter(kinds))].map(len).sum() // 8
+            if n >= flush:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    return run
+
+
+CLASSES = {"fp": "<u8", "n": "<i4", "tok": "<u8", "df": "<u4"}
+
+
+def _shared(bits: int, class_bits: int):
     """Of a bucket's hashes, those of two classes or more, dealt out by class."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         fps = [np.frombuffer(x, np.uint64) for x in rows["fps"]]
         every, code = np.unique(np.concatenate(fps), return_inverse=True)
         size = np.zeros(len(every), np.int32)
-        size[code] = np.concatenate([np.frombuffer(x, "<i4") for x in rows["sizes"]])
+        size[code] = np.concatenate([_sizes(a, b) for a, b in zip(rows["sizes"], rows["large"], strict=True)])
         base = np.append(0, np.cumsum([len(x) for x in fps]))
         cls = np.concatenate([code[base[i] + np.frombuffer(x, "<u2").astype(np.int64)] for i, x in enumerate(rows["idx"])])
-        tok = np.concatenate([_unpack(x) for x in rows["tok"]])
-        if len(every) < 1 << 24:
-            both = np.sort(tok << np.uint64(24) | cls.astype(np.uint64))
-            both = both[np.append(True, both[1:] != both[:-1])]
-            tok, cls = both >> np.uint64(24), (both & np.uint64((1 << 24) - 1)).astype(np.int64)
-        else:
-            order = np.lexsort((cls, tok))
-            tok, cls = tok[order], cls[order]
-            new = np.append(True, (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1]))
-            tok, cls = tok[new], cls[new]
+        tok = np.concatenate([_unpack(x, int(key[0]), bits) for x in rows["tok"]])
+        order = np.argsort(tok)
+        tok, cls = tok[order], cls[order]
+        count = np.diff(_runs(tok))
+        often = np.repeat(count, count) > 1  # most occur once
+        tok, cls = tok[often], cls[often]
+        order = np.lexsort((cls, tok))
+        tok, cls = tok[order], cls[order]
+        new = np.append(True, (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1]))[: len(tok)]
+        tok, cls = tok[new], cls[new]
         cut = _runs(tok)
         df = np.repeat(np.diff(cut), np.diff(cut))
         keep = df > 1
-        tok, cls, df = tok[keep] | np.uint64(key[0]) << _LOW, cls[keep], df[keep].astype("<u4")
-        return _split(every[cls], bits, [every[cls], size[cls], tok, df], ["fp", "n", "tok", "df"])
+        tok, cls, df = tok[keep], cls[keep], df[keep].astype("<u4")
+        return _split(every[cls], class_bits, [every[cls], size[cls], tok, df], list(CLASSES))
 
     return run
 
@@ -198,43 +273,60 @@ def need(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of edges."""
+    if not len(a):
+        return a, b
+    ids, code = np.unique(np.stack([a, b], 1), return_inverse=True)
+    pairs, forest = np.unique(code.reshape(-1, 2), axis=0), Forest(len(ids))
+    kept = [i for i, (x, y) in enumerate(pairs.tolist()) if forest.join(x, y)]
+    return ids[pairs[kept, 0]], ids[pairs[kept, 1]]
+
+
+def _stars_of(tok: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges that join the classes of a hash, and every hash with the smallest of its classes."""
+    order = np.lexsort((cls, tok))
+    tok, cls = tok[order], cls[order]
+    cut = _runs(tok)
+    first = np.repeat(cls[cut[:-1]], np.diff(cut))
+    a, b = _forest(first[first != cls], cls[first != cls])
+    return a, b, tok[cut[:-1]], cls[cut[:-1]]
+
+
 def _prefixes(percent: int, bits: int):
-    """Candidate classes with their shared hashes, and their prefix hashes dealt out by hash."""
+    """Candidate classes with their shared hashes (bucket -1), coarse edges (-2), and a class of every prefix hash, dealt out by hash."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        fp = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["fp"]])
-        n = np.concatenate([np.frombuffer(x, np.int32) for x in rows["n"]]).astype(np.int64)
-        tok = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["tok"]])
-        df = np.concatenate([np.frombuffer(x, "<u4") for x in rows["df"]])
+        fp, n, tok, df = (np.concatenate([np.frombuffer(x, kind) for x in rows[name]]) for name, kind in CLASSES.items())
         order = np.lexsort((tok, df, fp))
-        fp, n, tok, df = fp[order], n[order], tok[order], df[order]
+        fp, n, tok, df = fp[order], n[order].astype(np.int64), tok[order], df[order]
         cut = _runs(fp)
         count = np.diff(cut)
         size = n[cut[:-1]]
         take = size - -(-percent * size // 100) + 1 - (size - count)
         place = np.arange(len(fp)) - np.repeat(cut[:-1], count)
         pick = place < np.repeat(take, count)
-        out = _split(tok[pick], bits, [tok[pick], fp[pick]], ["tok", "cls"])
+        a, b, tokens, first = _stars_of(tok[pick], fp[pick].view(np.int64))
+        out = _split(tokens, bits, [tokens, first], ["tok", "cls"]).assign(fp=0, n=0)
+        edges = pd.DataFrame({"bucket": [-2], "tok": [a.tobytes()], "cls": [b.tobytes()], "fp": [0], "n": [0]})
         found = [(fp[a], size[i], np.sort(tok[a:b]).tobytes()) for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if take[i] > 0]
         cand = pd.DataFrame({"fp": np.array([x[0] for x in found], np.uint64).view(np.int64), "n": [int(x[1]) for x in found], "tok": [x[2] for x in found]})
-        return pd.concat([out.assign(fp=0, n=0), cand.assign(bucket=-1, cls=b"")])[["bucket", "fp", "n", "tok", "cls"]].astype({"bucket": "int32", "fp": "int64", "n": "int64"})
+        return pd.concat([out, edges, cand.assign(bucket=-1, cls=b"")])[["bucket", "fp", "n", "tok", "cls"]].astype({"bucket": "int32", "fp": "int64", "n": "int64"})
 
     return run
 
 
 def _stars(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Coarse edges: classes with a prefix hash in common, as a spanning forest of the bucket."""
-    tok = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["tok"]])
-    cls = np.concatenate([np.frombuffer(x, np.int64) for x in rows["cls"]])
-    order = np.lexsort((cls, tok))
-    tok, cls = tok[order], cls[order]
-    cut = _runs(tok)
-    first = np.repeat(cls[cut[:-1]], np.diff(cut))
-    pairs = np.unique(np.stack([first, cls], 1)[first != cls], axis=0)
-    ids, code = np.unique(pairs, return_inverse=True)
-    code, forest = code.reshape(-1, 2).tolist(), Forest(len(ids))
-    kept = [i for i, (a, b) in enumerate(code) if forest.join(a, b)]
-    return pd.DataFrame({"a": pairs[kept, 0], "b": pairs[kept, 1]})
+    """Coarse edges between classes of one prefix hash that lay apart."""
+    tok, cls = (np.concatenate([np.frombuffer(x, kind) for x in rows[name]]) for name, kind in (("tok", np.uint64), ("cls", np.int64)))
+    a, b, _, _ = _stars_of(tok, cls)
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], ["a", "b"])
 
 
 # ---------------------------------------------------------------- T-occurrence search
@@ -331,24 +423,71 @@ def _search_group(percent: int):
 # ---------------------------------------------------------------- the operator
 
 
-def ngram_join(docs: DataFrame, scratch: Scratch, *, n: int = 5, percent: int = 80, block: int = 256, pivots: int = 8) -> DataFrame:
+def _new_keys(classes: DataFrame) -> dict[tuple[int, int], int]:
+    """Unique keys for classes whose short keys clash though their 128 bits differ: about classes^2 / 2^65 of them."""
+    clash = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp")
+    found = sorted(map(tuple, classes.join(clash, "fp").select("fp", "fp2").collect()))
+    salt = 0
+    while found:
+        salt += 1
+        keys = mix(np.array([x[1] for x in found], np.int64).view(np.uint64) + np.uint64(salt)).view(np.int64).tolist()
+        if len(set(keys)) == len(keys) and classes.where(F.col("fp").isin(keys)).isEmpty():
+            return dict(zip(found, keys, strict=True))
+    return {}
+
+
+def _bits(items: int, each: int, least: int) -> int:
+    return max(least, (max(1, items // each) - 1).bit_length())
+
+
+def _grouped(df: DataFrame, bits: int):
+    """Groups by bucket; some eight buckets a task where there are more than Spark's own partitions."""
+    tasks = 1 << max(0, bits - 3)
+    return (df.repartition(tasks, "bucket") if tasks > parts(df.sparkSession) else df).groupBy("bucket")
+
+
+def _windows(member: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
+    """``member(component, ...)`` with ``m``, the size of its group; groups over ``block`` are split in windows of size."""
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        df = scratch.save(df, name)
+        return scratch.save(hub_join(df, "component", df.groupBy("component").agg(F.count(F.lit(1)).alias("m"))), name)
+
+    member = counted(member, "members")
+    large = member.where(F.col("m") > block)
+    if large.isEmpty():
+        return member
+    step = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))) if percent < 100 else F.col("n")
+    both = F.explode(F.array(step, step + 1)) if percent < 100 else F.explode(F.array(step))
+    split = large.drop("m").withColumn("w", both).withColumn("component", F.xxhash64("component", "w")).drop("w")
+    return member.where(F.col("m") <= block).unionByName(counted(split, "windows"))
+
+
+def ngram_join(docs: DataFrame, scratch: Scratch, *, n: int = 5, percent: int = 80, block: int = 256, pivots: int = 8, per_bucket: int = 1 << 18, round_bits: int = 12, fp_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_size (rows with the same set) for every row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    bits = max(8, (parts(spark) - 1).bit_length())
     texts = docs.select("doc_id", "text")
-    rows = scratch.save(texts.mapInArrow(_class_rows(n), "doc_id bigint, n bigint, fp bigint, fp2 bigint"), "sets")
+    rows = scratch.save(texts.mapInArrow(_class_rows(n, fp_bits), "doc_id bigint, n bigint, fp bigint, fp2 bigint"), "sets")
     classes = scratch.save(rows.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), "classes")
-
-    dealt = docs.select("text").where("text is not null").mapInArrow(_by_bucket(n, bits), "bucket int, fps binary, sizes binary, idx binary, tok binary")
-    shared = dealt.groupBy("bucket").applyInPandas(_shared(bits), "bucket int, fp binary, n binary, tok binary, df binary")
-    mixed = scratch.save(shared.groupBy("bucket").applyInPandas(_prefixes(percent, bits), "bucket int, fp bigint, n bigint, tok binary, cls binary"), "prefixes")
+    renamed = _new_keys(classes)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    bits, class_bits = _bits(total, per_bucket, 8), _bits(total, 4 * per_bucket, 6)
+
+    dealt = docs.select("text").where("text is not null").mapInArrow(_by_bucket(n, min(bits, round_bits), fp_bits, renamed), DEALT)
+    if bits > round_bits:
+        dealt = dealt.repartition(1 << round_bits, "bucket").mapInArrow(_again(round_bits, bits), DEALT)
+    shared = _grouped(dealt, bits).applyInPandas(_shared(bits, min(class_bits, round_bits)), "bucket int, fp binary, n binary, tok binary, df binary")
+    if class_bits > round_bits:
+        shared = shared.repartition(1 << round_bits, "bucket").mapInPandas(_split_again(class_bits, CLASSES), shared.schema)
+    mixed = scratch.save(_grouped(shared, class_bits).applyInPandas(_prefixes(percent, min(class_bits, round_bits)), "bucket int, fp bigint, n bigint, tok binary, cls binary"), "prefixes")
     cand = mixed.where("bucket = -1").select("fp", "n", "tok")
-    stars = mixed.where("bucket >= 0").select("bucket", "tok", "cls").groupBy("bucket").applyInPandas(_stars, "a bigint, b bigint")
-    coarse = components(scratch, stars)
-
-    member = cand.join(coarse.withColumnRenamed("id", "fp"), "fp")
-    count = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    member = scratch.save(member.join(count, "component").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "members")
+    prefix = mixed.where("bucket >= 0").select("bucket", "tok", "cls")
+    if class_bits > round_bits:
+        prefix = prefix.repartition(1 << round_bits, "bucket").mapInPandas(_split_again(class_bits, {"tok": "<u8", "cls": "<i8"}), prefix.schema)
+    stars = _grouped(prefix, class_bits).applyInPandas(_stars, "a bigint, b bigint")
+    coarse = components(scratch, stars.unionByName(mixed.where("bucket = -2").select("tok", "cls").mapInArrow(_edges, "a bigint, b bigint")))
+
+    member = _windows(cand.join(coarse.withColumnRenamed("id", "fp"), "fp"), scratch, percent, block)
+    member = scratch.save(member.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "parts")
     pair = "a bigint, b bigint"
     asked = member.withColumn("asked", F.lit(True))
     leads = member.where("blocks > 1").groupBy("component", "part").agg(F.min("fp").alias("fp")).where(F.col("part") < pivots).select("component", "fp")
@@ -362,25 +501,32 @@ def ngram_join(docs: DataFrame, scratch: Scratch, *, n: int = 5, percent: int =
         joined = components(scratch, links).select(F.col("id").alias("fp"), F.col("component").alias("inner"))
         now = scratch.save(large.join(joined, "fp", "left").withColumn("inner", F.coalesce("inner", "fp")), "inner")
         sizes = now.groupBy("component", "inner").agg(F.count(F.lit(1)).alias("c"))
-        main = sizes.groupBy("component").agg(F.max_by("inner", F.struct("c", "inner")).alias("main"))
-        rest = now.join(main, "component").where("inner <> main")
-        rest = rest.withColumn("chunk", F.col("part"))
+        main = scratch.save(sizes.groupBy("component").agg(F.max_by("inner", F.struct("c", "inner")).alias("main")), "main")
+        rest = scratch.save(hub_join(now, "component", main).where("inner <> main").withColumn("chunk", F.col("part")), "rest")
         ask = rest.withColumn("asked", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        chunks = rest.select("component", "chunk").distinct()
-        told = now.join(chunks, "component").withColumn("asked", F.lit(False))
+        chunks = rest.select("component", "chunk").distinct().groupBy("component").agg(F.collect_set("chunk").alias("chunks"))
+        told = hub_join(now, "component", chunks).withColumn("chunk", F.explode("chunks")).withColumn("asked", F.lit(False))
         keys = ["component", "part", "chunk"]
         use = [*keys, "fp", "n", "tok", "asked"]
         both = ask.select(use).unionByName(told.select(use)).groupBy(*keys, "fp").agg(F.max("n").alias("n"), F.first("tok").alias("tok"), F.max("asked").alias("asked"))
         links = links.unionByName(both.groupBy(keys).applyInPandas(_search_group(percent), pair))
 
-    ids = classes.groupBy("fp").agg(F.min("rep").alias("rep"))
-    named = links.join(ids.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(ids.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    final = components(scratch, named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    scratch.drop_but(rows, classes, final)
-    labelled = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "fp2", "class_size", F.coalesce("component", "rep").alias("component"))
-    return rows.join(labelled, ["fp", "fp2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size")
-    )
+    key = F.col("fp")
+    if renamed:
+        new = docs.sparkSession.createDataFrame([(a, b, k) for (a, b), k in renamed.items()], "fp bigint, fp2 bigint, new bigint")
+        classes, key = classes.join(new, ["fp", "fp2"], "left"), F.coalesce("new", "fp")
+    classes = classes.select("*", key.alias("id"))
+    found = components(scratch, scratch.save(links, "all-links"))
+    inside = scratch.save(classes.select("id", "rep").join(found, "id"), "inside")
+    least = scratch.save(inside.groupBy("component").agg(F.min("rep").alias("smallest")), "smallest")
+    named = hub_join(inside, "component", least).select("id", "smallest")
+    labelled = scratch.save(classes.join(named, "id", "left").select("fp", "fp2", "class_size", F.coalesce("smallest", "rep").alias("component")), "labelled")
+    scratch.drop_but(rows, labelled)
+    hot = labelled.where(F.col("class_size") > least_of_hub(rows.count()))
+    own = F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component")
+    some = look_up(rows.where("n > 0"), ["fp", "fp2"], labelled, hot).select("doc_id", "n", own, "class_size")
+    none = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"), F.lit(1).cast("long").alias("class_size"))
+    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "class_size")
 
 
 def deduplicate(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:

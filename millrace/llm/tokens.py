@@ -8,9 +8,8 @@ letters count as lower case, as the tokenizer's own normaliser makes them; both
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 
-from .common import hash_spans, spans
+from .common import factorize, key_hash, spans, word_keys
 
 _LIMIT = 2_000_000
 _RECENT = 1 << 17
@@ -18,33 +17,40 @@ _state: dict = {}
 
 
 class _Cache:
-    """Words by key, in sorted arrays: some 30 bytes a word. New words gather in a small array that is merged now and then."""
+    """Words by hash, in sorted arrays, and by place their whole keys: some 50 bytes a word. New words gather in a small array that is merged now and then.
+
+    A word whose hash another one holds already is not found, and so encoded again.
+    """
 
     def __init__(self):
         self.keys = [np.zeros(0, np.uint64)] * 2
         self.places = [np.zeros(0, np.int32)] * 2
         self.cut, self.ids, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 17, np.uint32), 0
+        self.whole = np.zeros((1 << 16, 2), np.uint64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of sorted keys, -1 where there is none."""
+    def find(self, keys: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Places of words with sorted hashes, -1 where there is none."""
         out = np.full(len(keys), -1, np.int64)
         for own, places in zip(self.keys, self.places, strict=True):
             if len(own):
                 at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-                hit = own[at] == keys
+                hit = np.flatnonzero(own[at] == keys)
+                hit = hit[(self.whole[places[at[hit]]] == whole[hit]).all(1)]
                 out[hit] = places[at[hit]]
         return out
 
-    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Places of new sorted keys."""
+    def add(self, keys: np.ndarray, whole: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of new words with sorted hashes."""
         end = self.cut[self.n]
         while len(self.cut) <= self.n + len(keys):
             self.cut = np.concatenate([self.cut, np.zeros_like(self.cut)])
+            self.whole = np.concatenate([self.whole, np.zeros_like(self.whole)])
         while len(self.ids) < end + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[end : end + len(ids)] = ids
         self.cut[self.n + 1 : self.n + 1 + len(keys)] = end + np.cumsum(sizes)
         places = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.whole[places] = whole
         self.n += len(keys)
         level = 1 if len(self.keys[1]) + len(keys) < _RECENT else 0
         parts = [self.keys[1], keys] if level else [*self.keys, keys]
@@ -67,8 +73,8 @@ def _tables(path: str) -> tuple:
     return _state["tokenizer"], _state["cache"]
 
 
-def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and key of the spans that are encoded by themselves."""
+def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and two-part key of the spans that are encoded by themselves."""
     starts, ends = spans(data, offsets)
     odd = np.append(0, np.cumsum((data >= 128) | (data == ord("|")), dtype=np.int64))
     plain = odd[ends] == odd[starts]
@@ -77,8 +83,11 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     cut = plain & (ends - starts > 1) & ((last == ord(".")) | (last == ord(","))) & (before >= 97) & (before <= 122)
     order = np.argsort(np.concatenate([starts, ends[cut] - 1]), kind="stable")
     starts, ends, plain = np.concatenate([starts, ends[cut] - 1])[order], np.concatenate([ends - cut, ends[cut]])[order], np.concatenate([plain, plain[cut]])[order]
-    low, exact = hash_spans(data, starts, ends), hash_spans(data, starts, ends, lower=False)
-    return starts, ends, np.where(plain, low, exact ^ np.uint64(0x5DEECE66D))
+    lo, hi = word_keys(data, starts, ends)
+    odd = np.flatnonzero(~plain)
+    lo[odd], exact = word_keys(data, starts[odd], ends[odd], lower=False)
+    hi[odd] = exact ^ np.uint64(0x40 << 56)  # no key of plain words has this bit like this
+    return starts, ends, lo, hi
 
 
 def _encode_words(tokenizer, texts: list[str], run: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -107,21 +116,20 @@ def _encode_words(tokenizer, texts: list[str], run: int = 256) -> tuple[np.ndarr
 
 def encode(path: str, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of concatenated texts, and where each text's ids begin; ``end_id`` closes each text."""
-    starts, ends, keys = subwords(data, offsets)
-    code, distinct = pd.factorize(keys)
+    starts, ends, lo, hi = subwords(data, offsets)
+    code, first = factorize(lo, hi)
     tokenizer, cache = _tables(path)
-    order = np.argsort(distinct)
-    sorted_keys = distinct[order]
-    at = cache.find(sorted_keys)
+    whole = np.stack([lo[first], hi[first]], 1)
+    keys = key_hash(whole[:, 0], whole[:, 1])
+    order = np.argsort(keys, kind="stable")
+    at = cache.find(keys[order], whole[order])
     new = np.flatnonzero(at < 0)
     if len(new):
-        first = np.full(len(distinct), -1, np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
         raw = data.tobytes()
-        lo, hi = starts[first[order[new]]].tolist(), ends[first[order[new]]].tolist()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(lo, hi, strict=True)]
-        at[new] = cache.add(sorted_keys[new], *_encode_words(tokenizer, texts))
-    spot = np.empty(len(distinct), np.int64)
+        begin, stop = starts[first[order[new]]].tolist(), ends[first[order[new]]].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin, stop, strict=True)]
+        at[new] = cache.add(keys[order[new]], whole[order[new]], *_encode_words(tokenizer, texts))
+    spot = np.empty(len(first), np.int64)
     spot[order] = at
     spot = spot[code]
     begin = cache.cut[spot]

@@ -255,8 +255,36 @@ def test_local_search_is_whole():
 # ---------------------------------------------------------------- op3
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_ngram_join(spark, docs, scratch, block):
+def words_of_one_sum():
+    """Two words of 1,024 letters that every polynomial hash modulo a power of two mixes up."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_word_keys_are_identities():
+    from millrace.llm import common
+
+    r = np.random.default_rng(4)
+    texts = [bytes(r.integers(97, 100, r.integers(1, 4), dtype=np.uint8)) for _ in range(500)] + [b"a" * n for n in range(1, 40)] + [b"x\0", b"x\0\0", b"x", b"A" * 15, b"B" * 16, *(w.encode() for w in words_of_one_sum())]
+    data = b" ".join(texts)
+    starts, ends = common.spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    lo, hi = common.word_keys(np.frombuffer(data, np.uint8), starts, ends)
+    keys = list(zip(lo.tolist(), hi.tolist(), strict=True))
+    low = [t.lower() for t in texts]
+    assert len(keys) == len(low) and len(set(keys)) == len(set(low)) == len(set(zip(keys, low, strict=True)))
+
+
+def test_factorize_tells_equal_hashes_apart(monkeypatch):
+    from millrace.llm import common
+
+    monkeypatch.setattr(common, "key_hash", lambda lo, hi: lo & np.uint64(1))
+    lo, hi = np.array([1, 3, 1, 2, 3, 1], np.uint64), np.array([0, 0, 0, 0, 5, 0], np.uint64)
+    code, first = common.factorize(lo, hi)
+    assert len(first) == 4 and (lo[first[code]] == lo).all() and (hi[first[code]] == hi).all() and (first[code] <= np.arange(6)).all()
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 3}, {"per_bucket": 25, "round_bits": 8, "fp_bits": 5}], ids=["plain", "blocks", "two rounds, clashing keys"])
+def test_ngram_join(spark, docs, scratch, options):
     from millrace.llm.ngram_join import ngram_join
 
     rows = list(documents())
@@ -264,10 +292,14 @@ def test_ngram_join(spark, docs, scratch, block):
     for i in range(30):  # one large group of near copies, some of them linked only through others
         r[i] = f"z{i}"
         rows.append((400 + i, " ".join(r), "en", "s", 1, 0.0, 0))
+    rows += [(450 + i, f"{w} " * 9, "en", "s", 1, 0.0, 0) for i, w in enumerate(words_of_one_sum())]
+    r = prose(60, 501).split()
+    for i, doc_id in ((0, 461), (5, None), (9, 462)):  # two texts that are linked through one without an id
+        rows.append((doc_id, " ".join(r[:i] + [f"y{k}" for k in range(i)] + r[i:]), "en", "s", 1, 0.0, 0))
     df = spark.createDataFrame(rows, DOCS)
-    sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
+    sets = {r[0] if r[0] is not None else 10**9 + i: shingles(r[1]) for i, r in enumerate(rows)}
     want = brute_components(sets)
-    got = ngram_join(df, scratch, block=block, pivots=1).collect()
+    got = ngram_join(df, scratch, pivots=1, **options).collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is None:
