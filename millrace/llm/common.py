@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 

@@ -1,6 +1,6 @@
 """Language-model scores from an Elias-Fano n-gram trie, op9.
 
-Level 1 holds every training token (sorted 64-bit hashes, counts), level 2 every pair of neighbours and
+Level 1 holds every training token (whole keys, sorted by their hashes; counts), level 2 every pair of neighbours and
 level 3 every triple. Levels 2 and 3 are dealt to shards by the first word, hot first words over several
 shards. A shard is one flat file that the tasks memory-map: the first words present; for each of the two levels an
 Elias-Fano sequence of pointers to a parent's range of successors, the successors, and 8-bit codes of
@@ -20,6 +20,8 @@ that is not a mounted path, a task copies a file to its own folder, maps it and
 
 A null or empty text has the ``end`` token only. A null doc_id is scored and counts as held out.
 Rows repeat as they do in the input and in training. With no training text all counts are 0. Other columns are ignored.
+An empty table gives an empty result; a very long text is one sequence like any other. Words have 32-bit identifiers,
+so training raises an error at 2^32 - 1 distinct words.
 """
 
 from __future__ import annotations
@@ -35,10 +37,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, mix, parts, read, text_chunks, tidy, words
+from .common import Scratch, factorize, first_places, fold, key_hash, mix, parts, read, spans, text_chunks, tidy, word_keys
 from .elias_fano import EliasFano, build
 
-END = np.uint64(0x656E64)
 _maps: dict = {}
 
 
@@ -97,7 +98,7 @@ def _squeeze(columns: list[np.ndarray]) -> bytes:
     """Columns as planes of bytes, compressed."""
     import zstandard
 
-    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    planes = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
     return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
@@ -125,14 +126,13 @@ def _deal(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts, each text closed by END, and where texts begin."""
-    starts, _, h = words(data, offsets)
-    h[h == END] += np.uint64(1)
+    """Keys (two columns) of all tokens of the texts, each text closed by ``end``, whose key is zero as no word's is, and where texts begin."""
+    starts, ends = spans(data, offsets)
     owner = np.searchsorted(offsets, starts, "right") - 1
     n = len(offsets) - 1
     cut = np.append(0, np.cumsum(np.bincount(owner, minlength=n) + 1))
-    out = np.full(int(cut[-1]), END, np.uint64)
-    out[np.arange(len(h)) + owner] = h
+    out = np.zeros((2, int(cut[-1])), np.uint64)
+    out[:, np.arange(len(starts)) + owner] = word_keys(data, starts, ends)
     return out, cut
 
 
@@ -141,12 +141,12 @@ def _batches_of_tokens(batches: Iterator[pa.RecordBatch], least: int = 1 << 20)
     for batch in batches:
         for _, _, data, offsets in text_chunks(batch.column(0)):
             held.append(_tokens(data, offsets)[0])
-            size += len(held[-1])
+            size += held[-1].shape[1]
             if size >= least:
-                yield np.concatenate(held)
+                yield np.concatenate(held, 1)
                 held, size = [], 0
     if held:
-        yield np.concatenate(held)
+        yield np.concatenate(held, 1)
     held = []
     tidy()
 
@@ -154,25 +154,40 @@ def _batches_of_tokens(batches: Iterator[pa.RecordBatch], least: int = 1 << 20)
 # ---------------------------------------------------------------- level 1
 
 
-def _count_words(bits: int):
+def _hash(keys: np.ndarray, hash_bits: int) -> np.ndarray:
+    """Hashes of keys; words of one hash are told apart by their keys (fewer bits only make more of them)."""
+    return key_hash(*keys) << np.uint64(64 - hash_bits)
+
+
+def _sorted_words(keys: np.ndarray, hash_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words in order of hash and key: hashes, keys, and the code of each word given."""
+    code, first = factorize(*keys)
+    keys = keys[:, first]
+    h = _hash(keys, hash_bits)
+    order = np.lexsort((*keys, h)) if hash_bits < 64 else np.argsort(h)
+    if hash_bits == 64 and (np.diff(h[order]) == 0).any():
+        order = np.lexsort((*keys, h))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return h[order], keys[:, order], back[code]
+
+
+def _count_words(bits: int, hash_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens in _batches_of_tokens(batches):
-            code, distinct = pd.factorize(tokens)
-            order = np.argsort(distinct)
-            h, c = distinct[order], np.bincount(code)[order].astype("<u4")
-            yield _deal((h >> np.uint64(64 - bits)).astype(np.int64), [h, c])
+            h, keys, code = _sorted_words(tokens, hash_bits)
+            yield _deal((h >> np.uint64(64 - bits)).astype(np.int64), [*keys, np.bincount(code).astype("<u4")])
 
     return run
 
 
-def _level_one(folder: str):
+def _level_one(folder: str, hash_bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        h, c = (np.concatenate(x) for x in zip(*(_expand(b, ["<u8", "<u4"]) for b in table.column("blob").to_pylist()), strict=True))
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order].astype(np.int64)
-        cut = _cuts(h)
-        h, c = h[cut[:-1]], np.add.reduceat(c, cut[:-1])
-        path = write_arrays(folder, {"hash": h, "count": c})
+        lo, hi, c = (np.concatenate(x) for x in zip(*(_expand(b, ["<u8", "<u8", "<u4"]) for b in table.column("blob").to_pylist()), strict=True))
+        h, keys, code = _sorted_words(np.stack([lo, hi]), hash_bits)
+        c = np.bincount(code, weights=c).astype(np.int64)
+        longest = int(np.diff(_cuts(h)).max())
+        path = write_arrays(folder, {"hash": h, "lo": keys[0], "hi": keys[1], "count": c, "longest": np.array([longest])})
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "path": [path], "n": pa.array([len(h)], pa.int64()), "total": pa.array([int(c.sum())], pa.int64())})
 
     return run
@@ -181,8 +196,8 @@ def _level_one(folder: str):
 class Words:
     """Level 1 over its files: identifiers are places in the order of hashes."""
 
-    def __init__(self, files: list[tuple[int, str, int]], bits: int):
-        self.bits, self.paths, self.base = bits, {b: p for b, p, _ in files}, {}
+    def __init__(self, files: list[tuple[int, str, int]], bits: int, hash_bits: int):
+        self.bits, self.hash_bits, self.paths, self.base = bits, hash_bits, {b: p for b, p, _ in files}, {}
         total = 0
         for b, _, n in sorted(files):
             self.base[b] = total
@@ -190,8 +205,8 @@ class Words:
         self.starts = np.array([self.base[b] for b in sorted(self.base)], np.int64)
         self.order = sorted(self.base)
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Identifiers (-1: unknown) and counts of sorted hashes."""
+    def look_up(self, h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers (-1: unknown) and counts of words in order of hash."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         if len(h):
             bucket = (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -200,11 +215,20 @@ class Words:
                 k = int(bucket[a])
                 if k in self.paths:
                     arrays = map_arrays(self.paths[k])
-                    place = np.minimum(np.searchsorted(arrays["hash"], h[a:b]), len(arrays["hash"]) - 1)
-                    hit = arrays["hash"][place] == h[a:b]
-                    ids[a:b][hit], counts[a:b][hit] = place[hit] + self.base[k], arrays["count"][place[hit]]
+                    last = len(arrays["hash"]) - 1
+                    begin = np.searchsorted(arrays["hash"], h[a:b])
+                    for step in range(int(arrays["longest"][0])):
+                        place = np.minimum(begin + step, last)
+                        hit = (arrays["lo"][place] == keys[0, a:b]) & (arrays["hi"][place] == keys[1, a:b])
+                        ids[a:b][hit], counts[a:b][hit] = place[hit] + self.base[k], arrays["count"][place[hit]]
         return ids, counts
 
+    def end(self) -> tuple[int, int]:
+        """Identifier and count of ``end``."""
+        keys = np.zeros((2, 1), np.uint64)
+        ids, counts = self.look_up(_hash(keys, self.hash_bits), keys)
+        return int(ids[0]), int(counts[0])
+
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Counts of sorted identifiers."""
         out = np.zeros(len(ids), np.int64)
@@ -217,12 +241,8 @@ class Words:
         return out
 
     def encode(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        code, distinct = pd.factorize(tokens)
-        order = np.argsort(distinct)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        ids, counts = self.look_up(distinct[order])
-        code = back[code]
+        h, keys, code = _sorted_words(tokens, self.hash_bits)
+        ids, counts = self.look_up(h, keys)
         return ids[code], counts[code]
 
 
@@ -246,25 +266,19 @@ def _before(x: np.ndarray, at_start) -> np.ndarray:
     return out
 
 
-def _first_places(code: np.ndarray, n: int) -> np.ndarray:
-    at = np.empty(n, np.int64)
-    at[code[::-1]] = np.arange(len(code))[::-1]
-    return at
-
-
 def _count_triples(make: tuple, shards: int, spread: int):
     """Each token with the one before it and the one after it; an END has none after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = Words(*make)
-        end_id, end_count = (int(x[0]) for x in level.look_up(np.array([END])))
+        end_id, end_count = level.end()
         for tokens in _batches_of_tokens(batches):
             ids, counts = level.encode(tokens)
             first, first_count = _before(ids, end_id), _before(counts, end_count)
             third = np.append(ids[1:], _NONE)
-            third[tokens == END] = _NONE
+            third[tokens[1] == 0] = _NONE
             pair_code, pair = pd.factorize((first << 32 | ids).astype(np.uint64))
-            at = _first_places(pair_code, len(pair))
+            at = first_places(pair_code, len(pair))
             shard = shard_of(first[at], ids[at], first_count[at], shards, spread)
             rank = np.empty(len(pair), np.int64)
             rank[np.lexsort((pair, shard))] = np.arange(len(pair))
@@ -383,17 +397,19 @@ def _level_files(folder: str, make: tuple, total: int, distinct: int, mu: float)
 # ---------------------------------------------------------------- the operator
 
 
-def train(texts: DataFrame, scratch: Scratch, *, mu: float = 100.0, spread: int = 1 << 16) -> dict:
-    """Trie of ``texts(text)``: paths and sizes of its files, totals."""
+def train(texts: DataFrame, scratch: Scratch, *, mu: float = 100.0, spread: int = 1 << 16, per_shard: int = 1 << 22, hash_bits: int = 64) -> dict:
+    """Trie of ``texts(text)``: paths and sizes of its files, totals. A shard gets about ``per_shard`` training tokens."""
     spark = texts.sparkSession
     bits = max(6, (parts(spark) - 1).bit_length())
-    shards = 1 << bits
     folder = f"{scratch.path}/trie"
     text = texts.select("text")
-    counted = text.mapInArrow(_count_words(bits), "bucket int, blob binary").groupBy("bucket").applyInArrow(_level_one(folder), "bucket int, path string, n bigint, total bigint")
+    counted = text.mapInArrow(_count_words(bits, hash_bits), "bucket int, blob binary").groupBy("bucket").applyInArrow(_level_one(folder, hash_bits), "bucket int, path string, n bigint, total bigint")
     files = scratch.save(counted, "level1").collect()  # one row a file
-    make = ([(r["bucket"], r["path"], r["n"]) for r in files], bits)
+    make = ([(r["bucket"], r["path"], r["n"]) for r in files], bits, hash_bits)
     total, distinct = sum(r["total"] for r in files), sum(r["n"] for r in files)
+    if distinct >= _NONE:
+        raise OverflowError(f"{distinct} distinct words: identifiers have 32 bits")
+    shards = 1 << max(bits, (max(1, total // per_shard) - 1).bit_length())
     triples = text.mapInArrow(_count_triples(make, shards, spread), "bucket int, blob binary").groupBy("bucket").applyInArrow(_level_files(folder, make, total, distinct, mu), "shard int, path string, n bigint")
     paths = {r["shard"]: r["path"] for r in scratch.save(triples, "levels").collect()}
     return {"words": make, "total": total, "distinct": distinct, "mu": mu, "spread": spread, "shards": shards, "paths": paths}
@@ -410,14 +426,14 @@ def score_tokens(model: dict, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """For each token of texts that END closes: count, log10 of its base probability, log10 P after its neighbours."""
     level, total, distinct, mu = Words(*model["words"]), model["total"], model["distinct"], model["mu"]
     ids, counts = level.encode(tokens)
-    end_id, end_count = (int(x[0]) for x in level.look_up(np.array([END])))
+    end_id, end_count = level.end()
     first, first_count = _before(ids, end_id), _before(counts, end_count)
     base = alone(counts, total, distinct)
     p = mu * base / (first_count + mu)
     known = np.flatnonzero((ids >= 0) & (first >= 0))
     code, pair = pd.factorize((first[known] << 32 | ids[known]).astype(np.uint64))
     a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(_NONE)).astype(np.int64)
-    shard = shard_of(a, b, first_count[known][_first_places(code, len(pair))], model["shards"], model["spread"]) if len(pair) else np.zeros(0, np.int64)
+    shard = shard_of(a, b, first_count[known][first_places(code, len(pair))], model["shards"], model["spread"]) if len(pair) else np.zeros(0, np.int64)
     node, pair_p, back = np.full(len(pair), -1, np.int64), np.zeros(len(pair)), np.ones(len(pair))
     for k, rows in _by_shard(shard, pair):
         if k in model["paths"]:
@@ -427,10 +443,10 @@ def score_tokens(model: dict, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarra
             pair_p[hit], back[hit] = 10 ** arrays["book2"][arrays["code2"][node[hit]]], 10 ** arrays["book_back"][arrays["code_back"][node[hit]]]
     p[known] = np.where(node[code] >= 0, pair_p[code], p[known])
 
-    own = np.full(len(tokens), -1, np.int64)
+    own = np.full(len(ids), -1, np.int64)
     own[known] = np.where(node[code] >= 0, code, -1)
     above = _before(own, -1)
-    above[1:][tokens[:-1] == END] = -1
+    above[1:][tokens[1, :-1] == 0] = -1
     deep = np.flatnonzero(above >= 0)
     p[deep] *= back[above[deep]]
     deep = deep[ids[deep] >= 0]
@@ -451,7 +467,7 @@ def _score(shared, least: int = 1 << 20):
         model = shared.value
 
         def out(ids: list, held: list) -> pa.RecordBatch:
-            tokens = np.concatenate([t for t, _ in held])
+            tokens = np.concatenate([t for t, _ in held], 1)
             size = np.concatenate([np.diff(c) for _, c in held])
             counts, base, log_p = score_tokens(model, tokens)
             begin = np.cumsum(size) - size
@@ -463,7 +479,7 @@ def _score(shared, least: int = 1 << 20):
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 ids.append(batch.column(0).slice(lo, hi - lo).cast(pa.int64()))
                 held.append(_tokens(data, offsets))
-                n += len(held[-1][0])
+                n += held[-1][0].shape[1]
                 if n >= least:
                     yield out(ids, held)
                     ids, held, n = [], [], 0

@@ -467,14 +467,17 @@ def test_lm_scoring(spark, docs, scratch):
 
     from millrace.llm.lm_scoring import score, train
 
-    rows = documents()
+    rows = [*documents(), *((900 + i, f"{w} of {w}", "en", "s", 1, 0.0, 0) for i, w in enumerate(words_of_one_sum()))]
+    docs = spark.createDataFrame(rows, DOCS)
     tokens = lambda x: [*WORD.findall((x or "").translate(LOW)), None]
     known = [tokens(r[1]) for r in rows if fold(r[0], 10)]
     c, pairs = Counter(w for t in known for w in t), Counter((a, b) for t in known for a, b in zip([None, *t[:-1]], t, strict=True))
     triples = Counter(x for t in known for x in zip([None, *t[:-2]], t[:-1], t[1:], strict=False))
     total, distinct = sum(c.values()), len(c)
     where = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
-    for got in (score(docs, train(docs.where(where), scratch, spread=50)), score(docs, train(docs.where(where), scratch))):
+    # shards by hot words; many shards and hashes of six bits; as it is by default
+    for options in ({"spread": 50}, {"per_shard": 300, "hash_bits": 6}, {}):
+        got = score(docs, train(docs.where(where), scratch, mu=100.0, **options))
         got = {(r["doc_id"], round(r["base_score"], 6)): r for r in got.collect()}
         for i, text, *_ in rows:
             t = tokens(text)
