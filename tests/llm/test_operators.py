@@ -539,7 +539,7 @@ def test_hypergeometric(spark):
     from millrace.llm.mixing import hypergeometric
 
     df = spark.range(8000).withColumnRenamed("id", "k0")
-    for g, b, n in ((30, 70, 20), (500, 300, 400), (7, 5, 6), (100_000, 900_000, 50_000), (0, 5, 3), (4, 0, 3), (4, 4, 0)):
+    for g, b, n in ((30, 70, 20), (500, 300, 400), (7, 5, 6), (100_000, 900_000, 50_000), (0, 5, 3), (4, 0, 3), (4, 4, 0), (3, 2, 5), (2, 9, 11)):
         r = df.select(F.expr(hypergeometric(f"{g}L", f"{b}L", f"{n}L", "k0")).alias("k")).agg(F.avg("k"), F.variance("k"), F.min("k"), F.max("k")).first()
         total = g + b
         mean, var = n * g / total, n * g / total * b / total * (total - n) / max(1, total - 1)
@@ -548,10 +548,10 @@ def test_hypergeometric(spark):
 
 
 def test_splitting_tree(spark, docs, scratch):
-    from millrace.llm.mixing import draw, word_count
+    from millrace.llm.mixing import _content, draw, word_count
     from pyspark.sql import functions as F
 
-    sized = scratch.save(docs.select("doc_id", "source", word_count("text").alias("size")).withColumn("row", F.monotonically_increasing_id()))
+    sized = scratch.save(docs.select("doc_id", "source", word_count("text").alias("size"), _content("text").alias("content")).withColumn("row", F.monotonically_increasing_id()))
     drawn, _ = draw(sized, scratch, sized, block_words=16, shard_words=3000)
     rows = drawn.collect()
     shards = Counter(r["shard"] for r in rows)
@@ -559,6 +559,44 @@ def test_splitting_tree(spark, docs, scratch):
     assert len({(r["row"], r["block"], r["epoch"]) for r in rows}) == len(rows)
 
 
+def test_tree_over_groups_of_sources(spark, scratch):
+    """More sources than a row holds: every source's quota is shared out whole, and halves are equal to one block."""
+    from millrace.llm.mixing import splitting_tree
+
+    quota = {i: (i * 7) % 5 for i in range(1, 200)} | {200: 900}
+    tree = splitting_tree(scratch, spark.createDataFrame([(i, q) for i, q in quota.items() if q], "source_rank long, quota long"), 4, 3).collect()
+    got, shards = Counter(), Counter()
+    for r in tree:
+        got[r["source_rank"]] += r["quota"]
+        shards[r["shard"]] += r["quota"]
+    assert got == {i: q for i, q in quota.items() if q} and len(shards) == 16 and max(shards.values()) - min(shards.values()) <= 1
+
+
+def test_mixing_reruns_agree(spark, scratch):
+    """Null and repeated ids of different texts, however the rows lie."""
+    from millrace.llm.mixing import mix
+
+    rows = [(None if i % 3 else 7, prose(40 + i, i), "en", f"s{i % 2}", 1, 0.0, 0) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS)
+    runs = [sorted((r["size"], r["taken"], r["n_shards"], r["first_shard"]) for r in mix(d, scratch, block_words=16, shard_words=500).collect()) for d in (df, df.repartition(5), df.repartition(3, "text").sortWithinPartitions(F_desc("text")))]
+    assert runs[0] == runs[1] == runs[2] and max(r[2] for r in runs[0]) > 1
+
+
+def test_mix_comes_through_the_tree(spark, docs, scratch, monkeypatch):
+    from millrace.llm import mixing
+
+    rows = lambda: sorted((r["size"], r["taken"], r["n_shards"], r["first_shard"] or 0) for r in mixing.mix(docs, scratch, block_words=16, shard_words=3000).collect())
+    before = rows()
+    monkeypatch.setattr(mixing, "hypergeometric", lambda good, bad, sample, key: "0L")
+    assert rows() != before
+
+
+def F_desc(name):
+    from pyspark.sql import functions as F
+
+    return F.desc(name)
+
+
 def test_mix_counts_written_shards(spark, docs, scratch):
     from millrace.llm.mixing import mix
 
