@@ -198,13 +198,20 @@ def least_of_hub(rows: int) -> int:
     return max(_FEW, rows // _HUBS)
 
 
-def look_up(left: DataFrame, key: str | list[str], table: DataFrame, hot: DataFrame) -> DataFrame:
-    """``left.join(table, key)`` for a table with one row a key. ``hot``: its rows for hubs, fewer than _HUBS, which meet by broadcast; no hub is shuffled."""
+def look_up(left: DataFrame, key: str | list[str], table: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left.join(table, key, how)`` for a table with one row a key. ``hot``: its rows for hubs, fewer than _HUBS, which meet by broadcast; no hub is shuffled."""
+    if hot.isEmpty():
+        return left.join(table, key, how)
     marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    cold = marked.where("_hot is null").select(left.columns).join(table, key)
+    cold = marked.where("_hot is null").select(left.columns).join(table, key, how)
     return cold.unionByName(marked.where("_hot").drop("_hot"))
 
 
+def look_up_all(left: DataFrame, key: str | list[str], table: DataFrame, hot: DataFrame) -> DataFrame:
+    """``look_up`` that keeps rows without a match."""
+    return look_up(left, key, table, hot, "left")
+
+
 def hub_join(left: DataFrame, key: str, table: DataFrame) -> DataFrame:
     """``look_up`` with the hubs of ``left``, a stored table."""
     hubs = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least_of_hub(left.count())).select(key)

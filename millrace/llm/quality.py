@@ -9,7 +9,10 @@ all of them are exact block products; the ``k`` nearest vote with their similari
 Score: share of the vote for label 1, corrected for the sample's share of each label, so that it
 estimates the probability in the labelled rows. A null or empty text has no terms and gets the
 labelled rows' own share of label 1. With no labelled rows every score is 0.5; with one label only, that label.
-Rows repeat as they do in the input; null ids are never learned from. Other columns are ignored.
+Rows repeat as they do in the input; null ids are never learned from; of several texts of one labelled doc_id the smallest
+is learned, of several labels the larger. Of neighbours with equal cosines at the ``k``-th place the first in the model count, which lies
+sorted by terms and label. A very long text is one vector like any other; an empty table gives an empty result. Other columns
+are ignored, and pass through with names that stay theirs.
 """
 
 from __future__ import annotations
@@ -83,6 +86,9 @@ def score(model: dict, counts: np.ndarray, k: int = 15, sharp: float = 8.0) -> n
     for a in range(0, len(y), 512):
         cos = y[a : a + 512] @ model["vectors"].T
         top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(cos, top, 1).min(1, keepdims=True)
+        for i in np.flatnonzero((cos >= least).sum(1) > k):  # ties at the k-th place: the first rows of the model
+            top[i] = np.argsort(-cos[i], kind="stable")[:k]
         w = np.maximum(np.take_along_axis(cos, top, 1), 0.0).astype(np.float64) ** sharp * model["weight"][top] + 1e-12
         out[a : a + 512] = (w * model["labels"][top]).sum(1) / w.sum(1)
     out[counts.sum(1) == 0] = model["share"]
@@ -100,8 +106,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[pa.Table
         ids = one if ids is None else ids.unionByName(one)
     if ids is None:
         return pa.table({"text": pa.array([], pa.string()), "quality": pa.array([], pa.int32())}), {}
-    # at most per_class rows a label and two labels: a bounded side
-    got = docs.join(F.broadcast(ids), "doc_id").select("text", "quality").where("text is not null")
+    # at most per_class rows a label and two labels: a bounded side; of repeated ids the smallest text
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality")
     counted = got.mapInArrow(_counted, "terms binary, quality int").toArrow()
     return counted, {k: v / total for k, v in shares.items()}
 

@@ -9,7 +9,13 @@ Equal payloads: of the records whose payload digests and lengths agree, and that
 ``least_bytes`` or more, the one with the largest page_id is the response and the others revisit it.
 Smaller payloads are all responses. Rows that share the largest page_id (repeated rows) are all
 responses. A null html is an empty payload; a null url leaves out the target; a null page_id gets the
-identifier ``none`` and reads back as null. Other columns are ignored. An empty table writes nothing.
+identifier ``none`` and reads back as null: it is smaller than any other, so such a page revisits an equal one
+that has a page_id, and without one it is a response. A very long html is one record, in a frame of its own
+size. Records of repeated page_ids share their identifier; ``BundleReader.record`` takes which of them is
+wanted. Other columns are ignored. An empty table writes nothing.
+
+Equal payloads meet as digests and page_ids only. Of the rest of a row, html included, nothing is shuffled but by
+page_id, to meet what it refers to; hubs (rows of one page_id and payload) meet it by broadcast.
 
 Bundles are written by the tasks under names of their own; the manifest that Spark commits names
 only those of finished tasks, so a repeated task does no harm.
@@ -29,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts, read
+from .common import Scratch, hub_join, least_of_hub, look_up_all, parts, read
 
 _SKIP, _SEEK, _FOOT = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "path string, records bigint, frames bigint, bytes bigint"
@@ -136,8 +142,8 @@ class BundleReader:
     def frame(self, i: int) -> bytes:
         return self.expand(self.file.read_at(self.table[i][0], self.at[i]), max_output_size=self.table[i][1])
 
-    def record(self, name: str) -> bytes:
-        _, frame, offset, length = next(x for x in self.index if x[0] == name)
+    def record(self, name: str, which: int = 0) -> bytes:
+        _, frame, offset, length = [x for x in self.index if x[0] == name][which]
         return self.frame(frame)[offset : offset + length]
 
     def records(self) -> Iterator[bytes]:
@@ -207,11 +213,16 @@ _SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("p
 
 def write_archives(pages: DataFrame, folder: str, scratch: Scratch, *, least_bytes: int = 0, bundle_bytes: int = 1 << 26, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Writes ``pages(page_id, url, html)`` to bundles in ``folder``; returns their manifest."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
-    equal = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 and first is not null")
-    equal = scratch.save(equal.select("sha", "size", "first"), "equal")
-    rows = rows.join(equal, ["sha", "size"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    return scratch.save(rows.select("page_id", "url", "html", "refers_to").mapInArrow(_write(folder, bundle_bytes, date), MANIFEST), "manifest")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
+    # a page_id as a key of joins, null and all
+    keyed = keyed.withColumns({"key": F.struct(F.col("page_id").isNull().alias("none"), F.coalesce("page_id", F.lit(0)).alias("id"), F.col("sha").alias("sha")), "twin": F.struct("sha", "size")})
+    ids = scratch.save(keyed.where(F.col("size") >= least_bytes).select("page_id", "key", "twin"), "digests")
+    equal = ids.groupBy("twin").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 and first is not null")
+    equal = scratch.save(equal.select("twin", "first"), "equal")
+    refers = hub_join(ids, "twin", equal).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    refers = scratch.save(refers.groupBy("key").agg(F.max("first").alias("refers_to"), F.count(F.lit(1)).alias("rows")), "refers")
+    marked = look_up_all(keyed.select("page_id", "url", "html", "key"), "key", refers.drop("rows"), refers.where(F.col("rows") > least_of_hub(ids.count())).drop("rows"))
+    return scratch.save(marked.select("page_id", "url", "html", "refers_to").mapInArrow(_write(folder, bundle_bytes, date), MANIFEST), "manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
