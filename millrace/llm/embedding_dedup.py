@@ -9,12 +9,16 @@ about sqrt(1 - c^2) sqrt((1 - f^2) / f^2 / (D - 1)). So a pair whose estimate li
 cosine >= threshold link.
 
 Vectors are compared when label and length are equal. A label's vectors are dealt by hash to blocks
-of about ``block``; each pair of blocks is one small task, so a hot label is many tasks. A task
-returns, for each vector that has links, their number and one edge to the root of its local component.
+of about ``block``, each a flat file in the shared folder; each pair of blocks is a row with two paths, so a hot label
+is many rows and no vector travels again. A task maps both files, reads the codes, and of one block's vectors only those
+that the bounds leave in doubt. It returns, for each vector that has links, their number and one edge to the root of
+its local component; links are counted slice by slice and never kept. Every pair of a label is estimated: on vectors without
+clusters no cheaper test is exact, so the work grows with the square of a label's size (figures in the README).
 
 Null labels, and null, empty, zero or non-finite vectors, link with nothing. Rows that repeat
 vec_id, label and vector are one vector and each get its row; rows of one vec_id never link with each
-other. A null vec_id links with nothing and is its own component (null). Other columns are ignored.
+other. A null vec_id links with nothing and is its own component (null). Other columns are ignored. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, read
+from .common import Scratch, components, hub_join, parts, read, tidy
+from .flat import map_arrays, write_arrays
 from .vectors import matrix, usable
 
 
@@ -67,66 +72,73 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         up = new
 
 
-def _compare(threshold: float, sigmas: float):
+def _block_file(folder: str):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("part", "ascending"), ("vec_id", "ascending")])
-        part, ids = table.column("part").to_numpy(), table.column("vec_id").to_numpy()
+        table = table.sort_by("vec_id")
         v = matrix(table.column("embedding"))
         v = v / np.abs(v).max(1, keepdims=True)
         v /= np.linalg.norm(v, axis=1, keepdims=True)
-        turn = rotation(v.shape[1])
-        code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(v), -1)
-        factor = table.column("factor").to_numpy()
-        split = int(np.searchsorted(part, part[-1]))  # 0: a block with itself
-        left, right = (np.arange(len(v)),) * 2 if not split else (np.arange(split), np.arange(split, len(v)))
-        x, found = v @ turn.T, []
-        for s in range(0, len(left), 256):
-            i, j = candidates(x[left[s : s + 256]], code[right], factor[right], threshold, sigmas)
-            i, j = left[s + i], right[j]
-            if not split:
-                i, j = i[i < j], j[i < j]
-            for c in range(0, len(i), 1 << 16):
-                p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-                exact = np.einsum("nd,nd->n", v[p], v[q])
-                ok = (exact >= threshold) & (ids[p] != ids[q])
-                found.append((p[ok], q[ok]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        links = np.bincount(a, minlength=len(v)) + np.bincount(b, minlength=len(v))
-        root = roots(len(v), a, b) if len(a) else np.arange(len(v))
-        some = links > 0
-        return pa.table({"vec_id": pa.array(ids[some], pa.int64()), "n": pa.array(links[some], pa.int64()), "root": pa.array(ids[root[some]], pa.int64())})
+        code, factor = encode(v, rotation(v.shape[1]))
+        path = write_arrays(folder, {"ids": table.column("vec_id").to_numpy(), "factor": factor, "code": code.reshape(-1), "v": v.reshape(-1)})
+        return pa.table([pa.array([k.as_py()], k.type) for k in key] + [pa.array([path])], names=["label", "dims", "part", "path"])
 
     return run
 
 
-def _codes(batches):
-    for batch in batches:
-        v = batch.column(1)
-        code, factor = [None] * batch.num_rows, np.zeros(batch.num_rows, np.float32)
-        size = np.array([len(x) for x in v])
-        for dims in np.unique(size):
-            rows = np.flatnonzero(size == dims)
-            m = matrix(v.take(pa.array(rows)))
-            m = m / np.abs(m).max(1, keepdims=True)
-            c, f = encode(m / np.linalg.norm(m, axis=1, keepdims=True), rotation(int(dims)))
-            factor[rows] = f
-            for r, b in zip(rows, c, strict=True):
-                code[r] = b.tobytes()
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.binary()), pa.array(factor)], names=[*batch.schema.names, "code", "factor"])
+def compare(a: dict, b: dict, threshold: float, sigmas: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids with links, their number, and the smallest id they reach, between two blocks or in one (the same twice)."""
+    inside = a is b
+    ids = a["ids"] if inside else np.concatenate([a["ids"], b["ids"]])
+    v, w = a["v"].reshape(len(a["ids"]), -1), b["v"].reshape(len(b["ids"]), -1)
+    code, turn, base = b["code"].reshape(len(w), -1), rotation(v.shape[1]), 0 if inside else len(v)
+    links, up = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for s in range(0, len(v), 256):
+        i, j = candidates(v[s : s + 256] @ turn.T, code, b["factor"], threshold, sigmas)
+        i += s
+        if inside:
+            i, j = i[i < j], j[i < j]
+        sure = []
+        for c in range(0, len(i), 1 << 16):
+            p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+            ok = (np.einsum("nd,nd->n", v[p], w[q]) >= threshold) & (a["ids"][p] != b["ids"][q])
+            sure.append((p[ok], q[ok] + base))
+        if sure and (p := np.concatenate([x for x, _ in sure])).size:
+            q = np.concatenate([y for _, y in sure])
+            links += np.bincount(p, minlength=len(ids)) + np.bincount(q, minlength=len(ids))
+            up = roots(len(ids), np.concatenate([p, np.arange(len(ids))]), np.concatenate([q, up]))
+    some = links > 0
+    smallest = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, up, ids)
+    return ids[some], links[some], smallest[up[some]]
+
+
+def _compare(threshold: float, sigmas: float):
+    def run(batches):
+        for batch in batches:
+            for one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a = map_arrays(one)
+                found = compare(a, a if one == two else map_arrays(two), threshold, sigmas)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["vec_id", "n", "root"])
+        tidy()
+
+    return run
 
 
-def near_dedup(vectors: DataFrame, scratch: Scratch, *, threshold: float = 0.93, sigmas: float = 6.0, block: int = 512) -> DataFrame:
+def near_dedup(vectors: DataFrame, scratch: Scratch, *, threshold: float = 0.93, sigmas: float = 6.0, block: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors(vec_id, embedding, label)``."""
     rows = vectors.select("vec_id", "embedding", "label")
     good = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable("embedding")).withColumn("vec_id", F.col("vec_id").cast("long")).dropDuplicates(["vec_id", "label", "embedding"])
-    kind = dict(rows.dtypes)
-    coded = scratch.save(good.select("vec_id", "embedding", "label").mapInArrow(_codes, f"vec_id bigint, embedding {kind['embedding']}, label {kind['label']}, code binary, factor float").withColumn("dims", F.size("embedding")), "codes")
-    sizes = scratch.save(coded.groupBy("label", "dims").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "sizes")
-    dealt = coded.join(sizes, ["label", "dims"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = dealt.select("*", other).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    pairs = pairs.select("label", "dims", "lo", "hi", "part", "vec_id", "embedding", "code", "factor")
-    found = scratch.save(pairs.groupBy("label", "dims", "lo", "hi").applyInArrow(_compare(threshold, sigmas), "vec_id bigint, n bigint, root bigint"), "links")
+    good = scratch.save(good.withColumn("dims", F.size("embedding")), "vectors")
+    sizes = good.groupBy("label", "dims").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sizes = scratch.save(sizes.select(F.struct("label", "dims").alias("kind"), "blocks"), "sizes")
+    dealt = hub_join(good.withColumn("kind", F.struct("label", "dims")), "kind", sizes).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    files = dealt.select("label", "dims", "part", "vec_id", "embedding").groupBy("label", "dims", "part").applyInArrow(_block_file(f"{scratch.path}/blocks"), f"label {dict(rows.dtypes)['label']}, dims int, part int, path string")
+    files = scratch.save(files, "blocks")
+    here = files.join(files.groupBy("label", "dims").agg(F.max("part").alias("last")), ["label", "dims"])
+    pairs = here.select("label", "dims", F.col("path").alias("one"), F.explode(F.sequence("part", "last")).alias("part")).join(files.withColumnRenamed("path", "two"), ["label", "dims", "part"])
+    tasks = min(4096, max(parts(rows.sparkSession), files.count() ** 2 // 32))
+    pairs = pairs.select("one", "two").repartition(tasks, "one", "two").sortWithinPartitions("one")
+    found = scratch.save(pairs.mapInArrow(_compare(threshold, sigmas), "vec_id bigint, n bigint, root bigint"), "links")
     count = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     group = components(scratch, found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(count, "vec_id", "left").join(group.withColumnRenamed("id", "vec_id"), "vec_id", "left")
