@@ -117,32 +117,26 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)) if len(x) else np.zeros(1, np.int64)
 
 
-DEALT = "bucket int, fps binary, sizes binary, large binary, idx binary, tok binary"
+DEALT = "bucket int, fps binary, sizes binary, large binary, counts binary, tok binary"
 
 
 class _Dealer:
-    """Gathers (class, its hashes) and gives rows of DEALT: the classes of a bucket, and for every hash its class's place and its low bits."""
+    """Gathers (class, its hashes) and gives rows of DEALT: a bucket's classes, how many of its hashes each has, and their low bits, class by class."""
 
-    def __init__(self, bits: int, flush: int = 1 << 20, rows: int = 60_000):
-        self.bits, self.flush, self.most = bits, flush, rows  # places are 16 bits
+    def __init__(self, bits: int, flush: int = 1 << 20):
+        self.bits, self.flush = bits, flush
         self.clear()
 
     def clear(self) -> None:
-        self.fps, self.sizes, self.counts, self.toks, self.held, self.rows = [], [], [], [], 0, 0
+        self.fps, self.sizes, self.counts, self.toks, self.held = [], [], [], [], 0
 
     def add(self, fp: np.ndarray, size: np.ndarray, count: np.ndarray, tok: np.ndarray) -> Iterator[pa.RecordBatch]:
         """``count`` hashes of each class, one class after another; size: of its whole set."""
-        cut = np.append(0, np.cumsum(count))
-        for a in range(0, len(fp), self.most):
-            b = min(a + self.most, len(fp))
-            if self.rows + b - a > self.most:
-                yield self.out()
-            for own, x in ((self.fps, fp[a:b]), (self.sizes, size[a:b]), (self.counts, count[a:b]), (self.toks, tok[cut[a] : cut[b]])):
-                own.append(x)
-            self.held += len(self.toks[-1])
-            self.rows += b - a
-            if self.held >= self.flush:
-                yield self.out()
+        for own, x in ((self.fps, fp), (self.sizes, size), (self.counts, count), (self.toks, tok)):
+            own.append(x)
+        self.held += len(tok)
+        if self.held >= self.flush:
+            yield self.out()
 
     def out(self) -> pa.RecordBatch:
         fp, size, count, tok = (np.concatenate(x) for x in (self.fps, self.sizes, self.counts, self.toks))
@@ -154,20 +148,33 @@ class _Dealer:
         cut = _runs(bucket)
         rows = []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            new = np.append(True, doc[a + 1 : b] != doc[a : b - 1])
-            used = doc[a:b][new]
-            n = size[used]
-            rows.append((int(bucket[a]), fp[used].tobytes(), np.minimum(n, 0xFFFF).astype("<u2").tobytes(), n[n >= 0xFFFF].astype("<u4").tobytes(), (np.cumsum(new) - 1).astype("<u2").tobytes(), _pack(tok[a:b])))
-        names = ["bucket", "fps", "sizes", "large", "idx", "tok"]
+            first = _runs(doc[a:b])
+            used = doc[a:b][first[:-1]]
+            rows.append((int(bucket[a]), fp[used].tobytes(), _pack_numbers(size[used]), _large(size[used]), _pack_numbers(np.diff(first)) + _large(np.diff(first)), _pack(tok[a:b])))
+        names = ["bucket", "fps", "sizes", "large", "counts", "tok"]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if not k else pa.binary()) for k in range(6)], names)
 
 
-def _sizes(row_sizes: bytes, large: bytes) -> np.ndarray:
-    n = np.frombuffer(row_sizes, "<u2").astype(np.int64)
+def _pack_numbers(n: np.ndarray) -> bytes:
+    """Numbers as 16 bits, low bytes first and high bytes after them, which Spark then compresses; larger ones lie in ``_large``."""
+    return np.minimum(n, 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _large(n: np.ndarray) -> bytes:
+    return n[n >= 0xFFFF].astype("<u4").tobytes()
+
+
+def _numbers(blob: bytes, large: bytes) -> np.ndarray:
+    n = np.frombuffer(blob, np.uint8).reshape(2, -1).astype(np.int64)
+    n = n[0] | n[1] << 8
     n[n == 0xFFFF] = np.frombuffer(large, "<u4")
     return n
 
 
+def _counts(blob: bytes, classes: int) -> np.ndarray:
+    return _numbers(blob[: 2 * classes], blob[2 * classes :])
+
+
 def _by_bucket(n: int, bits: int, fp_bits: int, renamed: dict[tuple[int, int], int]):
     """Texts to rows of DEALT. ``renamed``: new keys of classes whose short keys clash."""
 
@@ -182,7 +189,7 @@ def _by_bucket(n: int, bits: int, fp_bits: int, renamed: dict[tuple[int, int], i
                         fp[i] = renamed[int(fp[i]), int(second[i])]
                 some = size > 0
                 yield from dealer.add(fp[some], size[some], size[some], sets)
-        if dealer.rows:
+        if dealer.held:
             yield dealer.out()
         tidy()
 
@@ -195,11 +202,10 @@ def _again(bits: int, more: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = _Dealer(more)
         for batch in batches:
-            for bucket, fps, sizes, large, idx, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, fps, sizes, large, counts, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fp = np.frombuffer(fps, np.int64)
-                count = np.bincount(np.frombuffer(idx, "<u2"), minlength=len(fp))
-                yield from dealer.add(fp, _sizes(sizes, large), count, _unpack(blob, bucket, bits))
-        if dealer.rows:
+                yield from dealer.add(fp, _numbers(sizes, large), _counts(counts, len(fp)), _unpack(blob, bucket, bits))
+        if dealer.held:
             yield dealer.out()
 
     return run
@@ -246,9 +252,8 @@ def _shared(bits: int, class_bits: int):
         fps = [np.frombuffer(x, np.uint64) for x in rows["fps"]]
         every, code = np.unique(np.concatenate(fps), return_inverse=True)
         size = np.zeros(len(every), np.int32)
-        size[code] = np.concatenate([_sizes(a, b) for a, b in zip(rows["sizes"], rows["large"], strict=True)])
-        base = np.append(0, np.cumsum([len(x) for x in fps]))
-        cls = np.concatenate([code[base[i] + np.frombuffer(x, "<u2").astype(np.int64)] for i, x in enumerate(rows["idx"])])
+        size[code] = np.concatenate([_numbers(a, b) for a, b in zip(rows["sizes"], rows["large"], strict=True)])
+        cls = np.repeat(code, np.concatenate([_counts(x, len(f)) for x, f in zip(rows["counts"], fps, strict=True)]))
         tok = np.concatenate([_unpack(x, int(key[0]), bits) for x in rows["tok"]])
         order = np.argsort(tok)
         tok, cls = tok[order], cls[order]
@@ -440,20 +445,19 @@ def _bits(items: int, each: int, least: int) -> int:
     return max(least, (max(1, items // each) - 1).bit_length())
 
 
-def _grouped(df: DataFrame, bits: int):
-    """Groups by bucket; some eight buckets a task where there are more than Spark's own partitions."""
-    tasks = 1 << max(0, bits - 3)
-    return (df.repartition(tasks, "bucket") if tasks > parts(df.sparkSession) else df).groupBy("bucket")
+def _grouped(df: DataFrame, tasks: int, *keys: str):
+    """Groups in about ``tasks`` tasks, where that is more than Spark's own number."""
+    return (df.repartition(tasks, *keys) if tasks > parts(df.sparkSession) else df).groupBy(*keys)
 
 
 def _windows(member: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
-    """``member(component, ...)`` with ``m``, the size of its group; groups over ``block`` are split in windows of size."""
+    """``member(fp, n, component)`` with ``m``, the size of its group; groups over ``block`` are split in windows of size."""
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         df = scratch.save(df, name)
-        return scratch.save(hub_join(df, "component", df.groupBy("component").agg(F.count(F.lit(1)).alias("m"))), name)
+        return hub_join(df, "component", df.groupBy("component").agg(F.count(F.lit(1)).alias("m")))
 
-    member = counted(member, "members")
+    member = scratch.save(counted(member, "members"), "counted")
     large = member.where(F.col("m") > block)
     if large.isEmpty():
         return member
@@ -463,7 +467,7 @@ def _windows(member: DataFrame, scratch: Scratch, percent: int, block: int) -> D
     return member.where(F.col("m") <= block).unionByName(counted(split, "windows"))
 
 
-def ngram_join(docs: DataFrame, scratch: Scratch, *, n: int = 5, percent: int = 80, block: int = 256, pivots: int = 8, per_bucket: int = 1 << 18, round_bits: int = 12, fp_bits: int = 64) -> DataFrame:
+def ngram_join(docs: DataFrame, scratch: Scratch, *, n: int = 5, percent: int = 80, block: int = 128, pivots: int = 8, per_bucket: int = 1 << 20, round_bits: int = 13, fp_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_size (rows with the same set) for every row of ``docs(doc_id, text)``."""
     texts = docs.select("doc_id", "text")
     rows = scratch.save(texts.mapInArrow(_class_rows(n, fp_bits), "doc_id bigint, n bigint, fp bigint, fp2 bigint"), "sets")
@@ -471,30 +475,32 @@ def ngram_join(docs: DataFrame, scratch: Scratch, *, n: int = 5, percent: int =
     renamed = _new_keys(classes)
     total = rows.agg(F.sum("n")).first()[0] or 0
     bits, class_bits = _bits(total, per_bucket, 8), _bits(total, 4 * per_bucket, 6)
+    tasks, class_tasks = total // per_bucket, total // (2 * per_bucket)
 
     dealt = docs.select("text").where("text is not null").mapInArrow(_by_bucket(n, min(bits, round_bits), fp_bits, renamed), DEALT)
     if bits > round_bits:
         dealt = dealt.repartition(1 << round_bits, "bucket").mapInArrow(_again(round_bits, bits), DEALT)
-    shared = _grouped(dealt, bits).applyInPandas(_shared(bits, min(class_bits, round_bits)), "bucket int, fp binary, n binary, tok binary, df binary")
+    shared = _grouped(dealt, tasks, "bucket").applyInPandas(_shared(bits, min(class_bits, round_bits)), "bucket int, fp binary, n binary, tok binary, df binary")
     if class_bits > round_bits:
         shared = shared.repartition(1 << round_bits, "bucket").mapInPandas(_split_again(class_bits, CLASSES), shared.schema)
-    mixed = scratch.save(_grouped(shared, class_bits).applyInPandas(_prefixes(percent, min(class_bits, round_bits)), "bucket int, fp bigint, n bigint, tok binary, cls binary"), "prefixes")
+    mixed = scratch.save(_grouped(shared, class_tasks, "bucket").applyInPandas(_prefixes(percent, min(class_bits, round_bits)), "bucket int, fp bigint, n bigint, tok binary, cls binary"), "prefixes")
     cand = mixed.where("bucket = -1").select("fp", "n", "tok")
     prefix = mixed.where("bucket >= 0").select("bucket", "tok", "cls")
     if class_bits > round_bits:
         prefix = prefix.repartition(1 << round_bits, "bucket").mapInPandas(_split_again(class_bits, {"tok": "<u8", "cls": "<i8"}), prefix.schema)
-    stars = _grouped(prefix, class_bits).applyInPandas(_stars, "a bigint, b bigint")
+    stars = _grouped(prefix, class_tasks // 8, "bucket").applyInPandas(_stars, "a bigint, b bigint")
     coarse = components(scratch, stars.unionByName(mixed.where("bucket = -2").select("tok", "cls").mapInArrow(_edges, "a bigint, b bigint")))
 
-    member = _windows(cand.join(coarse.withColumnRenamed("id", "fp"), "fp"), scratch, percent, block)
-    member = scratch.save(member.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "parts")
+    member = _windows(cand.select("fp", "n").join(coarse.withColumnRenamed("id", "fp"), "fp"), scratch, percent, block)
+    member = scratch.save(member.join(cand.select("fp", "tok"), "fp").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "parts")
     pair = "a bigint, b bigint"
     asked = member.withColumn("asked", F.lit(True))
     leads = member.where("blocks > 1").groupBy("component", "part").agg(F.min("fp").alias("fp")).where(F.col("part") < pivots).select("component", "fp")
     lead = member.join(leads, ["component", "fp"]).withColumn("asked", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["component", "part"]
     use = [*keys, "fp", "n", "tok", "asked"]
-    links = scratch.save(asked.select(use).unionByName(lead.select(use)).groupBy(keys).applyInPandas(_search_group(percent), pair), "links")
+    tasks = member.count() // 4 // block
+    links = scratch.save(_grouped(asked.select(use).unionByName(lead.select(use)), tasks, *keys).applyInPandas(_search_group(percent), pair), "links")
 
     large = member.where("blocks > 1")
     if not large.isEmpty():
@@ -509,7 +515,7 @@ def ngram_join(docs: DataFrame, scratch: Scratch, *, n: int = 5, percent: int =
         keys = ["component", "part", "chunk"]
         use = [*keys, "fp", "n", "tok", "asked"]
         both = ask.select(use).unionByName(told.select(use)).groupBy(*keys, "fp").agg(F.max("n").alias("n"), F.first("tok").alias("tok"), F.max("asked").alias("asked"))
-        links = links.unionByName(both.groupBy(keys).applyInPandas(_search_group(percent), pair))
+        links = links.unionByName(_grouped(both, tasks, *keys).applyInPandas(_search_group(percent), pair))
 
     key = F.col("fp")
     if renamed:
