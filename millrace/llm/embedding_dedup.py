@@ -148,3 +148,10 @@ def near_dedup(vectors: DataFrame, scratch: Scratch, *, threshold: float = 0.93,
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "embeddings"), Scratch(spark, "op6"))
+
+
+ORACLE_SQL = r"""WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.c)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = vec_id JOIN (SELECT id, min(c) AS c FROM reach GROUP BY id) ON id = vec_id"""

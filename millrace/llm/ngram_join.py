@@ -547,3 +547,12 @@ def deduplicate(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
+ORACLE_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS n, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+reach AS (SELECT doc_id AS id, doc_id AS c FROM s UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.c WHERE 100 * pairs.c >= 80 * (pairs.n - pairs.c)),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+SELECT s.doc_id, len(g) AS n_shingles, component_id, CASE WHEN len(g) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY list_sort(g)) END AS class_size FROM s JOIN least ON least.id = s.doc_id"""

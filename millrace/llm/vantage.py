@@ -86,7 +86,7 @@ def search(tree: dict, query_ids: np.ndarray, q: np.ndarray, k: int, factor: flo
             return
         i, j = np.nonzero(near[some])
         d = np.full((len(some), len(leaf)), np.inf)
-        d[i, j] = np.sqrt(((q[rows[some[i]]] - v[leaf[j]]) ** 2).sum(1))
+        d[i, j] = np.sqrt(np.cumsum((q[rows[some[i]]] - v[leaf[j]]) ** 2, axis=1)[:, -1])  # summed in order, as plain loops do
         best.offer(rows[some], d, ids[leaf])
 
     def side(node: list, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,3 +180,10 @@ def nearest(vectors: DataFrame, scratch: Scratch, queries: DataFrame, *, k: int
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(rows, Scratch(spark, "op8"), rows.where("vec_id % 100 = 0"))
+
+
+ORACLE_SQL = r"""WITH e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda x, y: x + y)) AS score FROM e q JOIN e c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank, vec_id, score FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""

@@ -234,3 +234,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op4")
     manifest = write_archives(read(spark, sf_dir, "pages"), f"{scratch.path}/bundles", scratch)
     return read_archives(manifest).drop("url")
+
+
+ORACLE_SQL = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first, list_transform(range(0, 4), lambda k: ('0x' || substr(h, k * 10 + 1, 10))::BIGINT) AS five FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31) + 1, 1)), '') AS payload_digest,
+CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d"""
