@@ -17,7 +17,14 @@ LINK_KINDS = (
     ("detail", r"/(product|products|item|items|detail|details|dp)/|/p/[a-z0-9_-]+"),
 )
 # Extensions of files that aren't pages.
-ASSETS = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".ico", ".css", ".js", ".mjs", ".woff", ".woff2", ".ttf", ".mp4", ".mp3", ".pdf", ".zip")
+ASSETS = (
+    ".7z", ".avi", ".bmp", ".css", ".csv", ".doc", ".docx", ".gif", ".gz", ".ico", ".jpeg", ".jpg",
+    ".js", ".json", ".m4a", ".mov", ".mp3", ".mp4", ".pdf", ".png", ".ppt", ".pptx", ".rar", ".rss",
+    ".svg", ".tar", ".tgz", ".txt", ".webm", ".webp", ".xls", ".xlsx", ".xml", ".zip",
+)
+# Words of a link's text that name its kind.
+TEXT_KINDS = {"logout": r"\b(log\s*out|sign\s*out)\b", "pagination": r"\b(next|next page|older|more|load more|下一页|更多)\b", "search": r"\bsearch\b"}
+# Priorities of kinds; others have none.
 PRIORITIES = {"sitemap": 90, "pagination": 85, "detail": 70, "listing": 45, "search": 40, "api": 30}
 # Kinds of transcript messages, in order.
 MESSAGE_KINDS = (
@@ -36,19 +43,22 @@ def first_match(text: Column, rules, otherwise: Column) -> Column:
     return out.otherwise(otherwise)
 
 
-def link_kind(link: Column, rel: Column | None = None, hreflang: Column | None = None, media_type: Column | None = None) -> Column:
-    """Kind of a link, from its rel first and its URL after that."""
-    low = F.lower(link)
-    asset = U.extension(link).isin(*ASSETS)
-    if media_type is not None:
-        asset = asset | media_type.isNotNull()
-    out = F.when(asset, "asset").otherwise(first_match(low, LINK_KINDS, F.lit("generic")))
-    if hreflang is not None:
-        out = F.when(hreflang.isNotNull(), "alternate-language").otherwise(out)
-    if rel is not None:
-        tokens = F.split(F.lower(F.coalesce(rel, F.lit(""))), r"\s+")
-        out = F.when(F.array_contains(tokens, "next"), "pagination").when(F.array_contains(tokens, "canonical"), "canonical").otherwise(out)
-    return out
+def link_kind(link: Column, rel: Column | None = None, hreflang: Column | None = None, media_type: Column | None = None, anchor: Column | None = None, tag: Column | None = None, next_url: Column | None = None) -> Column:
+    """Kind of a link: what its element says first (next page, canonical, another language, a file), then its URL or text."""
+    none = F.lit(None).cast("string")
+    rel, hreflang, media_type, anchor, tag, next_url = (none if c is None else c for c in (rel, hreflang, media_type, anchor, tag, next_url))
+    tokens = F.split(F.lower(F.coalesce(rel, F.lit(""))), r"\s+")
+    low, words = F.lower(link), F.lower(F.trim(F.coalesce(anchor, F.lit(""))))
+    given = lambda c: F.coalesce(c != "", F.lit(False))
+    out = (
+        F.when(F.coalesce(link == next_url, F.lit(False)) | F.array_contains(tokens, "next"), "pagination").when(F.array_contains(tokens, "canonical"), "canonical")
+        .when(given(hreflang) | (F.array_contains(tokens, "alternate") & F.coalesce(tag == "link", F.lit(False))), "alternate-language")
+        .when(U.extension(link).isin(*ASSETS) | given(media_type), "asset")
+    )
+    for name, pattern in LINK_KINDS:
+        hit = low.rlike(pattern)
+        out = out.when(hit | words.rlike(TEXT_KINDS[name]) if name in TEXT_KINDS else hit, name)
+    return out.otherwise("generic")
 
 
 def link_priority(kind: Column) -> Column:

@@ -66,15 +66,44 @@ def disposition_name(header: Column) -> Column:
     return F.coalesce(wide, plain)
 
 
-# States of a sign-in page, in order.
-LOGIN_STATES = (
-    ("passkey", r"passkey|webauthn"), ("qr", r"qr code|scan to (log|sign) ?in"), ("risk", r"unusual activity|risk check"), ("captcha", r"captcha"), ("mfa", r"verification code|two-factor|one-time"),
-    ("sso", r"single sign-on|\bsso\b"), ("expired", r"session (has )?expired"), ("login_page", r"log ?in|sign ?in|password"), ("authenticated", r"log ?out|sign ?out|my account"),
-)
-
-
-def login_state(text: Column) -> Column:
-    return first_match(F.lower(F.coalesce(text, F.lit(""))), LOGIN_STATES, F.lit("unknown"))
+# Marks of sign-in pages.
+LOGIN_URL = r"(?i)/(login|signin|sign-in|auth|sso|oauth|authorize)(/|$|\?)"
+LOGIN_MARKS = {
+    "password": r"(?i)<input[^>]+type=[\"']password[\"']",
+    "mfa": r"(mfa|2fa|two[-\s]?factor|verification code|otp|一次性|验证码|二次验证)",
+    "captcha": r"(captcha|recaptcha|hcaptcha|geetest|turnstile|验证码)",
+    "qr": r"(qr code|scan to login|扫码|二维码)",
+    "risk": r"(risk|unusual activity|verify your identity|账号风险|安全验证|风控|账户异常)",
+    "passkey": r"(passkey|webauthn|security key|biometric|通行密钥|安全密钥)",
+    "success": r"(logout|sign out|dashboard|my account|profile|退出登录|个人中心|账户中心)",
+    "expired": r"(session expired|token expired|please login again|登录已过期|会话过期|unauthorized)",
+}
+
+
+def login_state(body: Column, link: Column | None = None, status: Column | None = None, has_session: Column | None = None, location: Column | None = None) -> Column:
+    """state, reason, authenticated, terminal and recoverable of a page seen while signing in. Text is address and body together."""
+    link, location = (F.lit("") if c is None else F.coalesce(c, F.lit("")) for c in (link, location))
+    status = F.lit(200) if status is None else F.coalesce(status, F.lit(200))
+    text = F.concat_ws("\n", link, F.coalesce(body, F.lit("")))
+    low = F.lower(text)
+    mark = {k: low.rlike(p) for k, p in LOGIN_MARKS.items()}
+    moved = status.isin(301, 302, 303, 307, 308)
+    delegated = link.rlike("(?i)oauth|authorize|openid|saml|sso") | low.rlike("idp|identity provider")
+    session = F.lit(False) if has_session is None else F.coalesce(has_session, F.lit(False))
+    # States and reasons, the first that holds
+    rules = (
+        ("manual_required", "passkey-webauthn", mark["passkey"]), ("manual_required", "qr-login", mark["qr"]), ("risk_challenge", "account-risk", mark["risk"] | (status == 423)),
+        ("captcha_challenge", "captcha", mark["captcha"]), ("mfa_challenge", "mfa", mark["mfa"]), ("sso_redirect", "oauth-sso-redirect", delegated & moved),
+        ("expired", "auth-expired", status.isin(401, 403, 419, 440) | mark["expired"]), ("login_page", "login-form", text.rlike(LOGIN_MARKS["password"]) | link.rlike(LOGIN_URL) | location.rlike(LOGIN_URL)),
+        ("authenticated", "session-artifacts", mark["success"] | session), ("redirecting", "http-redirect", moved),
+    )
+    pick = lambda at, other: reduce(lambda c, r: c.when(r[2], r[at]), rules[1:], F.when(rules[0][2], rules[0][at])).otherwise(other)
+    state = pick(0, F.lit("unknown"))
+    return F.struct(
+        state.alias("state"), pick(1, F.lit(None)).alias("reason"), (state == "authenticated").alias("authenticated"),
+        state.isin("authenticated", "manual_required", "risk_challenge").alias("terminal"),
+        state.isin("expired", "login_page", "captcha_challenge", "mfa_challenge", "redirecting", "sso_redirect").alias("recoverable"),
+    )
 
 
 def normalize_priority(value: Column, fallback: int = 0) -> Column:

@@ -34,6 +34,44 @@ def xpath(html: Column, expression: str) -> Column:
     return run(html)
 
 
+LINK = "struct<source:string,next:string,links:array<struct<url:string,tag:string,rel:string,text:string,hreflang:string,media_type:string,nofollow:boolean>>>"
+
+
+def link_candidates(body: Column, base: Column, content_type: Column | None = None) -> Column:
+    @F.pandas_udf(LINK)
+    def run(h: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([web.link_candidates(x, y, z) for x, y, z in zip(h, b, c, strict=True)], columns=["source", "next", "links"])
+
+    return run(body, base, content_type if content_type is not None else F.lit(None).cast("string"))
+
+
+def page_rules(body: Column, base: Column, rules: list[dict]) -> Column:
+    """All HTML rules of a plan with one parse a page: a struct of arrays r0, r1, ... of texts (of JSON texts for media)."""
+    kinds = ",".join(f"r{i}:array<string>" for i in range(len(rules)))
+
+    def values(root, raw, link, rule):
+        kind = rule["type"]
+        if kind == "css":
+            return web.css(root, rule["selector"], rule.get("attribute", "text"), link)
+        if kind == "links":
+            return web.css(root, rule.get("selector", "a[href]"), "href", link)
+        if kind == "xpath":
+            return web.xpath(root, rule["xpath"])
+        if kind == "media":
+            return [json.dumps(m) for m in web.media_assets(root, link, rule.get("maxItems", 50))]
+        return [json.dumps(y, sort_keys=True) for y in web.json_ld(root)]
+
+    @F.pandas_udf(f"struct<{kinds}>")
+    def run(h: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw, link in zip(h, b, strict=True):
+            root = web.parse_html(raw)
+            rows.append([values(root, raw, link, r) for r in rules])
+        return pd.DataFrame(rows, columns=[f"r{i}" for i in range(len(rules))])
+
+    return run(body, base)
+
+
 def resolve(link: Column, base: Column) -> Column:
     @F.pandas_udf("string")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -87,7 +87,9 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
-def parse_html(html: str | None) -> Node:
+def parse_html(html: str | Node | None) -> Node:
+    if isinstance(html, Node):
+        return html
     b = _Builder()
     b.feed(html or "")
     b.close()
@@ -210,22 +212,25 @@ def css(html: str | None, selector: str, attribute: str = "text", base: str | No
 
 # ---------------------------------------------------------------- media
 
-# Extensions of media kinds.
-MEDIA = {"image": "jpg jpeg png gif webp avif svg bmp ico tiff", "video": "mp4 webm mov m4v avi mkv m3u8 mpd ts ogv", "audio": "mp3 wav flac aac ogg oga m4a opus weba"}
-_EXT = {e: k for k, v in MEDIA.items() for e in v.split()}
+# Media kinds of extensions.
+MEDIA = {
+    ".jpg": "image", ".jpeg": "image", ".png": "image", ".gif": "image", ".webp": "image", ".avif": "image", ".svg": "image", ".bmp": "image", ".ico": "image", ".tif": "image", ".tiff": "image",
+    ".mp4": "video", ".m4v": "video", ".mov": "video", ".mkv": "video", ".webm": "video", ".m3u8": "video", ".mpd": "video", ".ts": "video", ".avi": "video", ".flv": "video", ".wmv": "video",
+    ".mp3": "audio", ".m4a": "audio", ".aac": "audio", ".wav": "audio", ".flac": "audio", ".ogg": "audio", ".oga": "audio", ".opus": "audio", ".weba": "audio", ".wma": "audio",
+}
 
 
 def media_kind(link: str | None, mime: str | None = None, hint: str = "") -> str | None:
     if mime and (m := re.match(r"(image|video|audio)/", mime.lower())):
         return m[1]
-    ext = re.search(r"\.([a-z0-9]+)$", urlsplit(link or "").path.lower())
-    if ext and ext[1] in _EXT:
-        return _EXT[ext[1]]
+    ext = re.search(r"\.[a-z0-9]+$", urlsplit(link or "").path.lower())
+    if ext and ext[0] in MEDIA:
+        return MEDIA[ext[0]]
     return next((k for k in ("image", "video", "audio") if k in hint.lower()), None)
 
 
 def srcset(value: str | None) -> list[str]:
-    return [p.split()[0] for p in re.split(r",\s+", value or "") if p.strip()]
+    return [p.split()[0] for p in (value or "").split(",") if p.strip()]
 
 
 def media_assets(html: str | None, base: str, limit: int = 200) -> list[dict]:
@@ -375,7 +380,54 @@ def feed_items(xml: str | None) -> list[dict]:
     return out
 
 
-def next_page(html: str | None, base: str) -> str | None:
+# ---------------------------------------------------------------- links to follow
+
+LINKS = 'a[href], link[rel="next"][href], link[rel="canonical"][href], link[rel="alternate"][hreflang][href]'
+
+
+def xml_source(body: str | None, link: str | None = None, content_type: str | None = None) -> str | None:
+    """feed or sitemap, by content type, address and first elements."""
+    b, u, c = (body or "").lstrip().lower(), (link or "").lower(), (content_type or "").lower()
+    if "rss" in c or "atom" in c or b.startswith("<rss") or "<feed" in b:
+        return "feed"
+    return "sitemap" if "xml" in c or "sitemap" in u or "<urlset" in b or "<sitemapindex" in b else None
+
+
+def link_candidates(body: str | None, base: str, content_type: str | None = None) -> dict:
+    """source, next page and all links of a response, distinct by URL, in order of the page; the next page leads."""
+    source, rows, after = xml_source(body, base, content_type), [], None
+    if source:
+        found = re.findall(r"<item\b[\s\S]*?<link\b[^>]*>([\s\S]*?)</link>", body or "", re.I) + re.findall(r"<entry\b[\s\S]*?<link\b[^>]*href=[\"']([^\"']+)", body or "", re.I)
+        if source == "sitemap":
+            found = re.findall(r"<(?:url|sitemap)\b[^>]*>[\s\S]*?<loc\b[^>]*>([\s\S]*?)</loc>", body or "", re.I)
+        rows = [{"url": resolve(html_text(x).strip(), base), "tag": None} for x in found]
+    else:
+        root = parse_html(body)
+        after = next_page(root, base)
+        if after:
+            rows.append({"url": after, "tag": "link", "rel": "next"})
+        for n in select(root, LINKS):
+            a = n.attrs
+            rel = (a.get("rel") or "").strip() or None
+            row = {"url": resolve(a.get("href"), base), "tag": n.tag, "rel": rel, "text": re.sub(r"\s+", " ", n.text()).strip() or None, "hreflang": (a.get("hreflang") or "").strip().lower() or None, "media_type": (a.get("type") or "").strip().lower() or None}
+            rows.append(row)
+        if after and any(r["url"] == after for r in rows[1:]):
+            rows = rows[1:]  # the page's own element stands for the next page, at its own place
+    keep = {}
+    for r in rows:
+        if r["url"]:
+            keep.setdefault(r["url"], {k: r.get(k) for k in ("url", "tag", "rel", "text", "hreflang", "media_type")} | {"nofollow": "nofollow" in (r.get("rel") or "").lower().split()})
+    return {"source": source, "next": after, "links": list(keep.values())}
+
+
+def html_text(raw: str) -> str:
+    """Text between tags with a CDATA wrapper and entities undone."""
+    import html
+
+    return html.unescape(re.sub(r"^\s*<!\[CDATA\[([\s\S]*?)\]\]>\s*$", r"\1", raw))
+
+
+def next_page(html: str | Node | None, base: str) -> str | None:
     """Target of the first next-page link that leads elsewhere."""
     root = parse_html(html)
     for s in ('link[rel~="next"]', 'a[rel~="next"]', 'a[aria-label*="Next"]', 'a[aria-label*="next"]', "a.next", ".next a", ".pagination-next a", "a.pagination-next", 'a[class*="next"]'):

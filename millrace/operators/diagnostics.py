@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import network
+
 # Marks of protection providers; each group of marks is one signal.
 PROVIDERS = (
     ("cloudflare", {"header": ("cf-ray",), "server": ("cloudflare",), "body": ("/cdn-cgi/challenge-platform/",)}),
@@ -17,6 +19,7 @@ PROVIDERS = (
     ("f5", {"server": ("big-ip",), "cookie": ("bigipserver",), "body": ("f5 distributed cloud",)}),
     ("shape-perimeterx", {"server": ("shape",), "body": ("perimeterx", "_px3"), "cookie": ("_px",)}),
 )
+# Texts of challenges, auth walls, signature errors and empty answers.
 CHALLENGE = ("captcha", "verify you are human", "challenge", "access denied")
 AUTH_WALL = ("sign in", "login", "unauthorized", "access token", "session expired", "forbidden")
 SIGNATURE = ("invalid signature", "signature error", "bad signature", "invalid token", "token expired", "timestamp expired", "nonce")
@@ -58,47 +61,18 @@ def severity_at_least(severity: Column, least: str) -> Column:
 # ---------------------------------------------------------------- captured network calls
 
 
-def endpoint(link: Column, body: Column) -> Column:
-    """score and category of a captured call by its address; the last forcing rule names the category."""
-    u, b = F.lower(link), F.lower(F.coalesce(body, F.lit("")))
-    rules = (
-        ("graphql", 36, F.contains(u, F.lit("/graphql")) | F.contains(b, F.lit('"query"'))), ("metrics", -40, u.rlike(r"(?:^|/)(metrics?|stats|telemetry|rum)(?:/|$)")),
-        ("analytics", -42, u.rlike(r"analytics|beacon|collect|track|pixel|events?(?:/|$)|logging?(?:/|$)")), ("auth", -34, u.rlike(r"(?:^|/)(auth|login|logout|token|session|csrf|captcha)(?:/|$)")),
-        ("health", -18, u.rlike(r"(?:^|/)(health|heartbeat|ping|ready|live)(?:/|$)")),
-    )
-    score = reduce(lambda a, c: a + c, [F.when(hit, n).otherwise(0) for _, n, hit in rules]) + F.when(u.rlike("bootstrap|initial|prefetch|dehydrated|hydration|page-data"), 16).otherwise(0)
-    category = F.lit("other")
-    for name, _, hit in rules:
-        category = F.when(hit, name).otherwise(category)
-    return F.struct(score.alias("score"), category.alias("category"))
-
-
-def network_candidates(pages: DataFrame, requests: str, limit: int = 10, prefer: tuple[str, ...] = (), avoid: tuple[str, ...] = ()) -> DataFrame:
-    """JSON calls of each page, best first: (page_id, rank, url, category, score, payload).
-
-    Ranking is inside the page's own array, so pages never meet in a shuffle.
-    """
-    size = F.size(requests)
-    rows = pages.select("page_id", size.alias("total"), F.posexplode(requests).alias("i", "r")).where(F.lower("r.transport").isin("fetch", "xhr"))
-    rows = rows.withColumn("json", F.expr("try_parse_json(r.body)")).where("json is not null")
-    e = endpoint(F.col("r.url"), F.col("r.requestBody"))
-    status = F.when(F.col("r.status").between(200, 299), 50).when(F.col("r.status").isNull(), 8).otherwise(0)
-    hints = reduce(lambda a, c: a + c, [F.when(F.col("r.url").rlike(p), n).otherwise(0) for ps, n in ((prefer, 18), (avoid, -28)) for p in ps], F.lit(0))
-    listy = F.when(F.col("r.body").rlike(r'"(items|list|results|records|products|entries|edges|nodes|hits)"\s*:\s*\['), 20).otherwise(0)
-    score = status + F.when(F.lower("r.transport") == "fetch", 10).otherwise(8) + 25 + F.least(F.lit(15), F.floor(F.octet_length("r.body") / 256)) + F.greatest(F.lit(-40), F.least(F.lit(40), e["score"])) + listy + hints + F.greatest(F.lit(0), F.col("total") - F.col("i"))
-    scored = rows.select("page_id", F.struct((-score).alias("k"), "i", F.col("r.url").alias("url"), e["category"].alias("category"), score.cast("int").alias("score"), F.col("r.body").alias("payload")).alias("c"))
-    best = scored.groupBy("page_id").agg(F.slice(F.array_sort(F.collect_list("c")), 1, limit).alias("c"))
-    return best.select("page_id", F.posexplode("c").alias("rank", "c")).select("page_id", (F.col("rank") + 1).alias("rank"), "c.url", "c.category", "c.score", "c.payload")
+def network_candidates(pages: DataFrame, requests: str, limit: int = 10, **options) -> DataFrame:
+    """JSON calls of each page, best first: (page_id, rank, url, category, score, signals, data_path, payload). Pages never meet in a shuffle."""
+    rows = pages.select("page_id", F.explode(network.ranked(F.col(requests), limit=limit, **options)).alias("c"))
+    return rows.select("page_id", "c.*")
 
 
 def json_next(body: Column) -> Column:
     """Next page of a JSON answer: a next link, a cursor of page info, or offset and limit added."""
     at = lambda p: F.get_json_object(body, p)
     links = F.coalesce(*[at(f"$.{c}{n}") for c in ("", "meta.", "links.", "pagination.", "paging.", "data.") for n in ("next", "nextPage", "next_page", "nextUrl", "next_url", "nextLink")])
-    more = at("$..hasNextPage")
     cursor = F.when(body.rlike(r'"hasNextPage"\s*:\s*true'), F.nullif(F.regexp_extract(body, r'"endCursor"\s*:\s*"([^"]*)"', 1), F.lit("")))
     offset = at("$.offset").try_cast("bigint") + at("$.limit").try_cast("bigint")
-    del more
     return F.struct(links.alias("url"), cursor.alias("cursor"), offset.alias("offset"))
 
 

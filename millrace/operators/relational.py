@@ -64,10 +64,10 @@ def compare(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """added, removed, modified, unchanged of every key by the hash of its value."""
-    o = old.select(F.col(key).alias("k"), F.xxhash64(value).alias("ho"), F.lit(True).alias("in_old"))
-    n = new.select(F.col(key).alias("k"), F.xxhash64(value).alias("hn"), F.lit(True).alias("in_new"))
-    state = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(F.col("ho") != F.col("hn"), "modified").otherwise("unchanged")
+    """added, removed, modified, unchanged of every key by its value; a null value equals a null value."""
+    o = old.select(F.col(key).alias("k"), F.col(value).alias("vo"), F.lit(True).alias("in_old"))
+    n = new.select(F.col(key).alias("k"), F.col(value).alias("vn"), F.lit(True).alias("in_new"))
+    state = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(F.col("vo").eqNullSafe(F.col("vn")), "unchanged").otherwise("modified")
     return o.join(n, "k", "full_outer").select(F.col("k").alias(key), state.alias("state"))
 
 
@@ -116,15 +116,14 @@ def top_entries(df: DataFrame, key: str, limit: int = 20) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(key)).limit(limit)
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """Percentile by nearest rank: the value at ceil(p n / 100). Sorting happens inside the aggregate, by group."""
-    v = F.array_sort(F.collect_list(value))
-    return F.element_at(v, F.greatest(F.lit(1), F.ceil(F.lit(p) / 100.0 * F.size(v))).cast("int"))
-
-
 def histogram(df: DataFrame, value: str, buckets: tuple[float, ...], keys: list[str]) -> DataFrame:
     """Cumulative counts up to and including each border, with sum and count."""
     counts = [F.sum(F.when(F.col(value) <= b, 1).otherwise(0)).alias(f"le_{i}") for i, b in enumerate(buckets)]
     wide = df.groupBy(*keys).agg(*counts, F.count(value).alias("le_inf"), F.round(F.sum(value), 4).alias("total"))
     pairs = [F.struct(F.lit(str(b)).alias("le"), F.col(f"le_{i}").alias("n")) for i, b in enumerate(buckets)] + [F.struct(F.lit("+Inf").alias("le"), F.col("le_inf").alias("n"))]
     return wide.select(*keys, "total", F.inline(F.array(*pairs)))
+
+
+def nearest_rank(value: str, percent: int) -> Column:
+    """Nearest-rank percentile: the smallest value that at least ``percent`` of the rows don't exceed."""
+    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value})").cast("int")

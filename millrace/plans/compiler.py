@@ -36,7 +36,7 @@ def validate(plan: dict) -> dict:
                 re.compile(r["pattern"])
             except (re.error, KeyError) as e:
                 raise PlanError(f"rule {r['name']}: {e}") from None
-    discovery = {"sameOrigin": True, "include": [], "exclude": [], "maxLinksPerPage": 100, **plan.get("discovery", {})}
+    discovery = {"sameOrigin": True, "include": [], "exclude": [], "maxLinksPerPage": 50, **plan.get("discovery", {})}
     return {**plan, "extract": list({r["name"]: r for r in rules}.values()), "discovery": discovery, "quality": plan.get("quality", {})}
 
 
@@ -49,6 +49,7 @@ def json_path(column: Column, path: str) -> Column:
 
 
 def rule_column(rule: dict, body: Column, link: Column) -> Column:
+    """Value of a rule that needs no parsed page."""
     kind, limit = rule["type"], rule.get("maxItems", 50)
     if kind == "regex":
         grouped = re.compile(rule["pattern"]).groups > 0
@@ -59,39 +60,79 @@ def rule_column(rule: dict, body: Column, link: Column) -> Column:
         return F.when(body.rlike(flags + rule["pattern"]), hit)
     if kind == "json":
         return json_path(body, rule.get("path", ""))
-    if kind == "css":
-        found = udf.css(body, rule["selector"], rule.get("attribute", "text"), link)
-        return F.slice(found, 1, limit) if rule.get("all") else F.try_element_at(found, F.lit(1))
-    if kind == "links":
-        return F.slice(text.distinct_in_order(udf.css(body, rule.get("selector", "a[href]"), "href", link)), 1, limit)
-    if kind == "xpath":
-        found = udf.xpath(body, rule["xpath"])
-        return F.slice(found, 1, limit) if rule.get("all") else F.try_element_at(found, F.lit(1))
-    if kind == "media":
-        return udf.media_assets(body, link, limit)
-    if kind == "json_ld":
-        return udf.json_ld(body)
     if kind == "meta":
         return F.struct(link.alias("url"), text.title(body).alias("title"), F.octet_length(body).alias("bodyBytes"), F.sha2(body, 256).alias("bodyHash"))
     external = text.count_matches(body, r"(?i)<script[^>]+src=")
     return F.struct(external.alias("scripts"), (text.count_matches(body, r"(?i)<script") - external).alias("inlineScripts"), F.sha2(body, 256).alias("bodyHash"))
 
 
+HTML_KINDS = ("css", "links", "xpath", "media", "json_ld")
+
+
+def _page_column(rule: dict, found: Column) -> Column:
+    """A rule's value from the texts that it found in the parsed page."""
+    kind, limit = rule["type"], rule.get("maxItems", 50)
+    if kind == "links":
+        return F.slice(text.distinct_in_order(found), 1, limit)
+    if kind == "media":
+        one = udf.ASSET.removeprefix("array<").removesuffix(">")
+        return F.transform(found, lambda x: F.from_json(x, one))
+    if kind == "json_ld":
+        return found
+    return F.slice(found, 1, limit) if rule.get("all") else F.try_element_at(found, F.lit(1))
+
+
 def extract(plan: dict, responses: DataFrame) -> DataFrame:
-    """``responses`` with ``extracted``: one struct of all rules."""
+    """``responses`` with ``extracted``: one struct of all rules. A page is parsed once for all of its HTML rules."""
     plan = validate(plan)
-    columns = [rule_column(r, F.col("body"), F.col("url")).alias(r["name"]) for r in plan["extract"]]
-    return responses.withColumn("extracted", F.struct(*columns))
+    html = [r for r in plan["extract"] if r["type"] in HTML_KINDS]
+    out = responses.withColumn("_page", udf.page_rules(F.col("body"), F.col("url"), html)) if html else responses
+    columns = []
+    for r in plan["extract"]:
+        value = _page_column(r, F.col(f"_page.r{html.index(r)}")) if r in html else rule_column(r, F.col("body"), F.col("url"))
+        columns.append(value.alias(r["name"]))
+    return out.withColumn("extracted", F.struct(*columns)).select(*responses.columns, "extracted")
 
 
 def discover(plan: dict, responses: DataFrame) -> DataFrame:
-    """Link rows of every page: absolute, distinct, filtered, classified and prioritised, at most ``maxLinksPerPage`` a page."""
+    """Link rows of every page: absolute, distinct, filtered, classified and prioritised; then the first ``maxLinksPerPage`` of a page.
+
+    All tests run inside a page's own array, so pages never meet. ``discovery``: sameOrigin, include and exclude (patterns),
+    respectNoFollow, classify, enqueueCanonical, enqueueAlternateLanguages, skipLogout, skipAssetLinks, fileExtensions that
+    are no pages, and rules {pattern, action, priority, label}, of which the first that fits counts. Sitemaps and feeds give their
+    locations; ``content_type`` is read where responses have it.
+    """
     d = validate(plan)["discovery"]
-    links = F.slice(text.distinct_in_order(udf.css(F.col("body"), "a[href]", "href", F.col("url"))), 1, d["maxLinksPerPage"])
-    rows = responses.select(F.col("url").alias("parent"), F.posexplode(links).alias("pos", "url"))
-    keep = classify.discovery_allowed(F.col("url"), F.col("parent"), tuple(d["include"]), tuple(d["exclude"]), d["sameOrigin"])
-    rows = rows.where(keep).withColumn("kind", classify.link_kind(F.col("url"))).where("kind <> 'logout'")
-    return rows.withColumns({"priority": classify.link_priority(F.col("kind")), "unique_key": url.unique_key(F.col("url"))})
+    kind_of = F.col("content_type") if "content_type" in responses.columns else None
+    pages = responses.select(F.col("url").alias("parent"), udf.link_candidates(F.col("body"), F.col("url"), kind_of).alias("page"))
+    source = F.coalesce(F.col("page.source"), F.lit("discovery"))
+    xml, rules = F.col("page.source").isNotNull(), d.get("rules", [])
+
+    def wanted(x: Column) -> Column:
+        keep = classify.discovery_allowed(x["url"], F.col("parent"), tuple(d["include"]), tuple(d["exclude"]), d["sameOrigin"])
+        if d.get("respectNoFollow"):
+            keep = keep & ~x["nofollow"]
+        if d.get("fileExtensions"):
+            keep = keep & (xml | ~url.extension(x["url"]).isin(*d["fileExtensions"]))
+        return F.coalesce(keep, F.lit(False))
+
+    def described(x: Column) -> Column:
+        kind = classify.link_kind(x["url"], x["rel"], x["hreflang"], x["media_type"], x["text"], x["tag"], F.col("page.next")) if d.get("classify", True) else F.lit("generic")
+        sitemap = (F.col("page.source") == "sitemap") & ((url.extension(x["url"]) == ".xml") | F.contains(F.lower(x["url"]), F.lit("sitemap")))
+        kind = F.when(F.coalesce(sitemap, F.lit(False)), "sitemap").otherwise(kind)
+        rule = classify.first_match(x["url"], [(str(i), r["pattern"]) for i, r in enumerate(rules)], F.lit(None)).cast("int") if rules else F.lit(None).cast("int")
+        of = lambda name: F.coalesce(*[F.when(rule == i, F.lit(r[name])) for i, r in enumerate(rules) if r.get(name) is not None], F.lit(None))
+        label = F.when(kind.isin("sitemap", "pagination"), kind)
+        return F.struct(
+            x["url"].alias("url"), kind.alias("kind"), F.coalesce(of("priority").cast("int"), classify.link_priority(kind)).alias("priority"), F.coalesce(of("label").cast("string"), label).alias("label"),
+            x["text"].alias("anchor"), x["rel"].alias("rel"), x["nofollow"].alias("nofollow"), x["hreflang"].alias("hreflang"), F.coalesce(of("action") == "skip", F.lit(False)).alias("skip"),
+        )
+
+    gone = [k for k, on in (("canonical", not d.get("enqueueCanonical")), ("alternate-language", not d.get("enqueueAlternateLanguages")), ("logout", d.get("skipLogout", True)), ("asset", d.get("skipAssetLinks", True))) if on]
+    links = F.transform(F.filter("page.links", wanted), described)
+    links = F.slice(F.filter(links, lambda x: ~x["kind"].isin(*gone) & ~x["skip"] if gone else ~x["skip"]), 1, d["maxLinksPerPage"])
+    rows = pages.select("parent", source.alias("source"), F.posexplode(links).alias("pos", "x")).select("parent", "source", "pos", "x.*").drop("skip")
+    return rows.withColumn("unique_key", url.unique_key(F.col("url")))
 
 
 def is_empty(value: Column, kind: str) -> Column:

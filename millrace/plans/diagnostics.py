@@ -61,11 +61,11 @@ def severity_filter(spark, sf_dir):
 CALL = "array<struct<url:string,transport:string,method:string,status:int,requestBody:string,body:string>>"
 
 
-@query("SELECT * FROM (VALUES (1, 1, 'https://s.test/graphql', 'graphql', 143), (1, 2, 'https://s.test/api/auth/token', 'auth', 52), (1, 3, 'https://s.test/track', 'analytics', 47)) t(page_id, rank, url, category, score)")
+@query("SELECT * FROM (VALUES (1, 1, 'https://s.test/graphql', 'graphql', 162), (1, 2, 'https://s.test/api/auth/token', 'auth', 98), (1, 3, 'https://s.test/track', 'analytics', 12)) t(page_id, rank, url, category, score)")
 def network_candidates_ranked(spark, sf_dir):
     calls = [("https://s.test/track", "xhr", "GET", 200, None, '{"ok":1}'), ("https://s.test/api/auth/token", "xhr", "GET", 200, None, '{"t":"x"}'), ("https://s.test/graphql", "fetch", "POST", 200, '{"query":"{x}"}', '{"data":{"x":{"items":[1,2],"pageInfo":{}}}}'), ("https://s.test/raw", "fetch", "GET", 200, None, "<html>")]
     d = spark.createDataFrame([(1, calls)], f"page_id int, requests {CALL}")
-    return D.network_candidates(d, "requests").drop("payload")
+    return D.network_candidates(d, "requests").drop("payload", "signals", "data_path")
 
 
 @query("SELECT * FROM (VALUES (1, '/p2', NULL, CAST(NULL AS BIGINT)), (2, NULL, 'z', NULL), (3, NULL, NULL, 30), (4, NULL, NULL, NULL)) t(id, url, cursor, \"offset\")")

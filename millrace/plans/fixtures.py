@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import classify, text, udf, url
+from ..functions import classify, network, text, udf, url
 from ..operators import changes
+from ..streaming import runs
+from . import compiler
 
 QUERIES, SQL = {}, {}
 
@@ -20,10 +22,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def _store():
-    return lambda df: df
-
-
 @query("""SELECT * FROM (VALUES (1, CAST(100 AS BIGINT)), (2, 400), (3, 1000), (4, 2000)) t(id, delay_ms)""")
 def retry_delay(spark, sf_dir):
     rows = [(1, 1, "fixed", None), (2, 3, "exponential", None), (3, 6, "exponential", None), (4, 3, "exponential", "2")]
@@ -59,15 +57,45 @@ def url_identity(spark, sf_dir):
     return d.select("id", key(url.unique_key(u)).alias("unique_key"), url.canonical(u).alias("canonical"), key(url.unique_key(u, F.lit("POST"), F.lit("x"))).alias("post_key"))
 
 
-LINKS = [("https://s.test/?page=2", None), ("https://s.test/x", "next"), ("https://s.test/x", "canonical"), ("https://s.test/f.pdf", None), ("https://s.test/logout", None), ("https://s.test/api/x", None), ("https://s.test/?q=z", None), ("https://s.test/category/x", None), ("https://s.test/product/1", None), ("https://s.test/other", None)]
+LINKS = [
+    ("https://s.test/?page=2", None, None, None), ("https://s.test/x", "next", None, None), ("https://s.test/x", "canonical", None, None), ("https://s.test/f.pdf", None, None, None), ("https://s.test/logout", None, None, None),
+    ("https://s.test/api/x", None, None, None), ("https://s.test/?q=z", None, None, None), ("https://s.test/category/x", None, None, None), ("https://s.test/product/1", None, None, None), ("https://s.test/other", None, None, None),
+    ("https://s.test/a", None, "Sign out", None), ("https://s.test/b", None, "Load more", None), ("https://s.test/c", None, "Search here", None), ("https://s.test/d", None, "research", None), ("https://s.test/e", "alternate", None, "de"), ("https://s.test/data.json", None, None, None), ("https://s.test/t.woff", None, None, None),
+]
 
 
-@query("SELECT * FROM (VALUES (0, 'pagination', 85), (1, 'pagination', 85), (2, 'canonical', NULL), (3, 'asset', NULL), (4, 'logout', NULL), (5, 'api', 30), (6, 'search', 40), (7, 'listing', 45), (8, 'detail', 70), (9, 'generic', NULL)) t(id, kind, priority)")
+@query("""SELECT * FROM (VALUES (0, 'pagination', 85), (1, 'pagination', 85), (2, 'canonical', NULL), (3, 'asset', NULL), (4, 'logout', NULL), (5, 'api', 30), (6, 'search', 40), (7, 'listing', 45), (8, 'detail', 70), (9, 'generic', NULL),
+    (10, 'logout', NULL), (11, 'pagination', 85), (12, 'search', 40), (13, 'generic', NULL), (14, 'alternate-language', NULL), (15, 'asset', NULL), (16, 'generic', NULL)) t(id, kind, priority)""")
 def link_priority(spark, sf_dir):
-    d = spark.createDataFrame([(i, *x) for i, x in enumerate(LINKS)], "id int, u string, rel string").withColumn("kind", classify.link_kind(F.col("u"), F.col("rel")))
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(LINKS)], "id int, u string, rel string, t string, lang string")
+    d = d.withColumn("kind", classify.link_kind(F.col("u"), F.col("rel"), F.col("lang"), None, F.col("t")))
     return d.select("id", "kind", classify.link_priority(F.col("kind")).alias("priority"))
 
 
+SITE = """<html><head><link rel="canonical" href="/self"><link rel="alternate" hreflang="de" href="/de"></head><body>
+<a href="/a">One</a> <a href="/a#again">Same page, other place</a> <a href="/files/list.csv">Table</a> <a href="https://other.test/x">Off</a> <a href="/bye">Log out</a>
+<a href="/ads" rel="nofollow sponsored">Ad</a> <a href="/product/7">Mug</a> <a href="/skip/me">Skip</a> <a rel="next" href="/?page=2">Older</a></body></html>"""
+MAP = "<?xml version='1.0'?><urlset><url><loc>https://s.test/p/1</loc></url><url><loc>https://s.test/news.xml</loc></url></urlset>"
+FEED = "<rss><channel><item><title>x</title><link><![CDATA[https://s.test/n?a=1&b=2]]></link></item></channel></rss>"
+
+
+@query("""SELECT * FROM (VALUES ('https://s.test/', 'discovery', 'https://s.test/a', 'generic', NULL, NULL), ('https://s.test/', 'discovery', 'https://s.test/a#again', 'generic', NULL, NULL), ('https://s.test/', 'discovery', 'https://s.test/product/7', 'detail', 5, 'shop'),
+    ('https://s.test/', 'discovery', 'https://s.test/?page=2', 'pagination', 85, 'pagination'), ('https://s.test/map', 'sitemap', 'https://s.test/p/1', 'pagination', 85, 'pagination'), ('https://s.test/map', 'sitemap', 'https://s.test/news.xml', 'sitemap', 90, 'sitemap'),
+    ('https://s.test/feed', 'feed', 'https://s.test/n?a=1&b=2', 'generic', NULL, NULL)) t(parent, source, url, kind, priority, label)""")
+def link_discovery(spark, sf_dir):
+    """Pages, a sitemap and a feed: gates by kind, nofollow, a rule that skips and one that names."""
+    plan = {"name": "s", "discovery": {"respectNoFollow": True, "rules": [{"pattern": "/skip/", "action": "skip"}, {"pattern": "/product/", "priority": 5, "label": "shop"}]}}
+    pages = spark.createDataFrame([("https://s.test/", SITE), ("https://s.test/map", MAP), ("https://s.test/feed", FEED)], "url string, body string")
+    return compiler.discover(plan, pages).select("parent", "source", "url", "kind", "priority", "label")
+
+
+@query("SELECT * FROM (VALUES (1, 'data', 148), (2, '', 97), (3, '', -8), (4, NULL, NULL)) t(id, path, score)")
+def json_primary_value(spark, sf_dir):
+    """The part of a JSON answer that holds its data."""
+    rows = [(1, '{"data":{"items":[{"id":1},{"id":2}]}}'), (2, '{"ok":true,"items":[{"a":1}]}'), (3, "[]"), (4, "not json")]
+    return spark.createDataFrame(rows, "id int, body string").select("id", network.primary_value(F.col("body")).alias("v")).select("id", "v.path", "v.score")
+
+
 @query("""SELECT * FROM (VALUES (1, 'object'), (2, 'array'), (3, 'string'), (4, 'number'), (5, 'boolean'), (6, 'null'), (7, 'undefined')) t(id, kind)""")
 def json_type_of(spark, sf_dir):
     d = spark.createDataFrame(list(enumerate(['{"a":1}', "[1]", '"x"', "-1.5", "true", "null", None], 1)), "id int, v string")
@@ -89,7 +117,7 @@ def iso_duration(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 1), ('d', 2), ('x', NULL), ('y', NULL)) t(id, wave)")
 def dag_waves(spark, sf_dir):
     nodes = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["a"]), ("d", ["b", "c"]), ("x", ["y"]), ("y", ["x"])], "id string, depends_on array<string>")
-    return changes.dag_waves(spark, nodes, lambda df: df)
+    return changes.dag_waves(spark, nodes, runs.store(spark))
 
 
 @query("SELECT * FROM (VALUES ('add-field', 'price', 2), ('widen-field', 'name', 2)) t(change, field, version)")
@@ -101,7 +129,7 @@ def schema_evolve(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('u0', 0), ('u1', 1), ('u2', 1), ('u3', 2)) t(url, depth)")
 def frontier_breadth_first(spark, sf_dir):
     edges = spark.createDataFrame([("u0", "u1"), ("u0", "u2"), ("u1", "u3"), ("u2", "u3"), ("u3", "u0"), ("u3", "u4")], "parent string, url string")
-    return changes.breadth_first(spark, edges, spark.createDataFrame([("u0",)], "url string"), 2, lambda df: df)
+    return changes.breadth_first(spark, edges, spark.createDataFrame([("u0",)], "url string"), 2, runs.store(spark))
 
 
 @query("SELECT * FROM (VALUES ('k1', 'unchanged'), ('k2', 'changed'), ('k3', 'first-seen')) t(key, content_state)")

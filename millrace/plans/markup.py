@@ -8,6 +8,7 @@ from ..functions import udf, wire
 from ..operators import dedup, sinks
 from ..streaming import stateful
 from . import compiler
+from .streams import BUCKET
 
 QUERIES, SQL = {}, {}
 
@@ -45,16 +46,14 @@ def responses(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body"))
 
 
-@query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title, len(regexp_extract_all(html, '(?i)<title')) = 0 AS missing FROM pages WHERE regexp_matches(html, '(?is)<title[^>]*>[^&]*</title>')")
-def css_title(spark, sf_dir):
-    r = responses(spark, sf_dir).where(F.col("body").rlike(r"(?is)<title[^>]*>[^&]*</title>"))
-    t = F.try_element_at(udf.css(F.col("body"), "title"), F.lit(1))
-    return r.select("page_id", t.alias("title"), t.isNull().alias("missing"))
+_TITLE = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)(</title>|$)', 1)"
+for _mark, _text in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _TITLE = f"replace({_TITLE}, '{_mark}', '{_text}')"
 
 
-@query()
-def css_title_all(spark, sf_dir):
-    """Every page: titles with entities, unclosed ones and pages without one too, which the SQL of ``css_title`` leaves out."""
+@query(rf"SELECT page_id, nullif(trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')), '') AS title, NOT regexp_matches(html, '(?i)<title') AS missing FROM pages")
+def css_title(spark, sf_dir):
+    """Titles of all pages, entities undone; unclosed ones and pages without one too."""
     t = F.try_element_at(udf.css(F.col("body"), "title"), F.lit(1))
     return responses(spark, sf_dir).select("page_id", F.nullif(t, F.lit("")).alias("title"), t.isNull().alias("missing"))
 
@@ -104,27 +103,24 @@ def wire_roundtrip(spark, sf_dir):
 SQL["wire_roundtrip"] = "SELECT event_id, true AS id_ok, true AS type_ok FROM events"
 
 
-@query("SELECT doc_id, true AS maybe FROM documents WHERE doc_id % 2 = 0")
-def bloom_membership(spark, sf_dir):
-    even = _keys(table(spark, sf_dir, "documents").where("doc_id % 2 = 0"))
-    return _asked(even, even)
-
-
 def _keys(df):
     return df.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id")).alias("key"))
 
 
-def _asked(known, asked):
+def bloom_asked(known, asked):
     """Which of ``asked`` may be among ``known``, by a filter with room for all known keys."""
     room = max(1, known.count())
     built = dedup.bloom_build(known, "key", room, 0.01)
-    return dedup.bloom_contains(asked, "key", built, room, 0.01).select("doc_id", "maybe")
+    return dedup.bloom_contains(asked, "key", built, room, 0.01).select("doc_id", "key", "maybe")
 
 
-@query()
-def bloom_membership_all(spark, sf_dir):
-    """Every document asked whether it is labelled; about one in a hundred of the others may come back true."""
-    return _asked(_keys(table(spark, sf_dir, "labels")), _keys(table(spark, sf_dir, "documents")))
+@query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents")
+def bloom_membership(spark, sf_dir):
+    """Every document asked whether it is labelled: the filter says no for certain, and its yes is looked up among the keys."""
+    known = _keys(table(spark, sf_dir, "labels")).distinct()
+    asked = bloom_asked(known, _keys(table(spark, sf_dir, "documents")))
+    sure = asked.where("maybe").join(known.select("key", F.lit(True).alias("found")), "key", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("labelled"))
+    return asked.where("not maybe").select("doc_id", F.lit(False).alias("labelled")).unionByName(sure)
 
 
 def _keyed(spark, sf_dir):
@@ -145,12 +141,15 @@ def change_state_replay(spark, sf_dir):
     return stateful.change_states(_keyed(spark, sf_dir)).withColumnRenamed("out", "state")
 
 
-@query()
+@query(BUCKET)
 def token_bucket_replay(spark, sf_dir):
     return stateful.token_bucket(_keyed(spark, sf_dir), 0.001, 2.0).withColumnRenamed("out", "wait_ms")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER w AS n, avg(coalesce(value, 0.0)) OVER (w ROWS 19 PRECEDING) > 60 OR avg((event_type = 'error')::INT) OVER (w ROWS 19 PRECEDING) > 0.2 AS down
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id)),
+    r AS (SELECT user_id, event_id, n, CASE WHEN down THEN 1 ELSE 2 END AS c FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN down THEN greatest(1, c - 1) ELSE least(20, c + 1) END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    SELECT user_id::VARCHAR AS key, event_id, c AS concurrency FROM r""")
 def autoscale_replay(spark, sf_dir):
     return stateful.autoscale(_keyed(spark, sf_dir), slow_ms=60.0).withColumnRenamed("out", "concurrency")
 
@@ -161,7 +160,7 @@ def csv_minimal_lines(spark, sf_dir):
     return sinks.csv_lines(d, ["source", "doc_id", "n_chars"])
 
 
-@query()
+@query("SELECT DISTINCT unnest(list_concat(['id'], list_transform(json_keys(props), lambda k: 'props.' || k))) AS header FROM events")
 def csv_headers(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat(F.lit('{"id":'), F.col("event_id"), F.lit(',"props":'), F.col("props"), F.lit("}")).alias("item"))
     return spark.createDataFrame([(h,) for h in sinks.headers(e)], "header string")

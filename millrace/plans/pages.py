@@ -157,7 +157,7 @@ def top_hrefs(spark, sf_dir):
     return _links(spark, sf_dir).groupBy("href").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "href").limit(20)
 
 
-_KIND = r"""CASE WHEN lower(regexp_extract(regexp_extract(regexp_extract(href, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1), '^.+(\.[^.]*)$', 1)) IN ('.jpg','.jpeg','.png','.gif','.webp','.svg','.ico','.css','.js','.mjs','.woff','.woff2','.ttf','.mp4','.mp3','.pdf','.zip') THEN 'asset'
+_KIND = r"""CASE WHEN lower(regexp_extract(regexp_extract(regexp_extract(href, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1), '^.+(\.[^.]*)$', 1)) IN ('.7z','.avi','.bmp','.css','.csv','.doc','.docx','.gif','.gz','.ico','.jpeg','.jpg','.js','.json','.m4a','.mov','.mp3','.mp4','.pdf','.png','.ppt','.pptx','.rar','.rss','.svg','.tar','.tgz','.txt','.webm','.webp','.xls','.xlsx','.xml','.zip') THEN 'asset'
     WHEN regexp_matches(lower(href), '(^|/)(logout|signout|log-out|exit)(/|$)') THEN 'logout' WHEN regexp_matches(lower(href), '/api(/|$)|[?&](api|format)=') THEN 'api'
     WHEN regexp_matches(lower(href), '([?&](page|p|pg|offset|cursor)=)|/(page|p)/[0-9]+') THEN 'pagination' WHEN regexp_matches(lower(href), '([?&](q|query|keyword|search)=)|/search(/|$)') THEN 'search'
     WHEN regexp_matches(lower(href), '([?&](category|cat|collection|tag|brand)=)|/(category|categories|collection|collections|list|listing|catalog|catalogue|browse)(/|$)') THEN 'listing'

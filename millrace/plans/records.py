@@ -214,13 +214,6 @@ def change_state_by_hash(spark, sf_dir):
     return c.select("conv_id", "turn", F.when(F.col("p").isNull(), "first-seen").when(F.col("p") == F.col("h"), "unchanged").otherwise("changed").alias("state"))
 
 
-@query("""WITH n AS (SELECT doc_id AS id, source, text, n_chars FROM documents WHERE doc_id % 2 = 1), o AS (SELECT doc_id + 1 AS id, source, text, n_chars FROM documents WHERE doc_id % 2 = 0)
-    SELECT n.id AS doc_id, CASE WHEN o.id IS NULL THEN 'new-url' WHEN o.source <> n.source THEN 'etag' WHEN md5(o.text) = md5(n.text) THEN 'unchanged' WHEN abs(n.n_chars - o.n_chars) < 0.1 * o.n_chars THEN 'length-threshold' ELSE 'content-diff' END AS reason FROM n LEFT JOIN o ON n.id = o.id""")
-def incremental_reason(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return _reasons(d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0"))
-
-
 def _reasons(now, before):
     """Why each row of ``now`` is read again, against the row of ``before`` with the id one less."""
     n = now.select("doc_id", "source", F.md5("text").alias("h"), "n_chars")
@@ -231,8 +224,8 @@ def _reasons(now, before):
 
 @query("""SELECT n.doc_id, CASE WHEN o.doc_id IS NULL THEN 'new-url' WHEN o.source <> n.source THEN 'etag' WHEN md5(o.text) = md5(n.text) THEN 'unchanged' WHEN abs(n.n_chars - o.n_chars) < 0.1 * o.n_chars THEN 'length-threshold' ELSE 'content-diff' END AS reason
     FROM documents n LEFT JOIN documents o ON o.doc_id = n.doc_id - 1""")
-def incremental_reason_all(spark, sf_dir):
-    """Every document against the one before it; ``incremental_reason`` judges odd ids only, as its SQL does."""
+def incremental_reason(spark, sf_dir):
+    """Every document against the one before it."""
     d = table(spark, sf_dir, "documents")
     return _reasons(d, d)
 

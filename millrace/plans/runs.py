@@ -102,12 +102,13 @@ def set_ops(spark, sf_dir):
     return _sides(spark, sf_dir).where("side <> 'both'").select("o_custkey")
 
 
-@query("""WITH o AS (SELECT p_partkey AS k, p_type AS v FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN upper(p_type) || '!' ELSE p_type END AS v FROM part WHERE p_partkey % 5 <> 0)
-    SELECT k AS p_partkey, CASE WHEN o.v IS NULL THEN 'added' WHEN n.v IS NULL THEN 'removed' WHEN o.v <> n.v THEN 'modified' ELSE 'unchanged' END AS state FROM o FULL JOIN n USING (k)""")
+@query("""WITH o AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'long' ELSE 'short' END AS v, true AS x FROM labels), n AS (SELECT doc_id, CASE WHEN n_chars > 500 THEN 'long' ELSE 'short' END AS v, true AS y FROM documents)
+    SELECT doc_id, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' WHEN o.v IS DISTINCT FROM n.v THEN 'modified' ELSE 'unchanged' END AS state FROM o FULL JOIN n USING (doc_id)""")
 def keyed_diff(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    new = p.where("p_partkey % 5 <> 0").withColumn("p_type", F.when(F.col("p_partkey") % 7 == 0, F.concat(F.upper("p_type"), F.lit("!"))).otherwise(F.col("p_type")))
-    return R.keyed_diff(p.where("p_partkey % 3 <> 0"), new, "p_partkey", "p_type")
+    """What labels say of each document against what its length says."""
+    say = lambda c: F.when(c, "long").otherwise("short").alias("v")
+    old, new = table(spark, sf_dir, "labels").select("doc_id", say(F.col("quality") == 1)), table(spark, sf_dir, "documents").select("doc_id", say(F.col("n_chars") > 500))
+    return R.keyed_diff(old, new, "doc_id", "v")
 
 
 @query("SELECT c_custkey, count(o_orderkey) AS records, strftime(max(o_orderdate), '%Y-%m-%d') AS updated FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")

@@ -45,7 +45,15 @@ def stream_daily_counts(spark, sf_dir):
     return runs.run_to_end(w).select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
 
 
-@query()
+BUCKET = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+    r AS (SELECT user_id, event_id, n, ms, 1::DOUBLE AS tokens, ms AS last FROM e WHERE n = 1 UNION ALL
+      SELECT user_id, event_id, n, ms, least(2.0::DOUBLE, have + wait / 1000 * 0.001::DOUBLE) * (wait > 0)::INT + have * (wait = 0)::INT - 1, start + wait::BIGINT FROM
+      (SELECT *, CASE WHEN have >= 1 THEN 0::DOUBLE ELSE ceil((1 - have) * 1000 / 0.001::DOUBLE) END AS wait FROM
+      (SELECT e.user_id, e.event_id, e.n, e.ms, greatest(e.ms, r.last) AS start, least(2.0::DOUBLE, r.tokens + (greatest(e.ms, r.last) - r.last)::DOUBLE / 1000 * 0.001::DOUBLE) AS have FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+    SELECT user_id::VARCHAR AS key, event_id, last - ms AS wait_ms FROM r"""
+
+
+@query(BUCKET)
 def stream_token_bucket(spark, sf_dir):
     return runs.run_to_end(stateful.stream_token_bucket(stream(spark, sf_dir).select("key", "ms", "event_id"), 0.001, 2.0)).withColumnRenamed("out", "wait_ms")
 
@@ -70,10 +78,18 @@ def disposition_names(spark, sf_dir):
     return d.select("id", T.disposition_name(F.col("h")).alias("name"))
 
 
-@query("SELECT * FROM (VALUES (1, 'captcha'), (2, 'login_page'), (3, 'authenticated'), (4, 'unknown'), (5, 'unknown')) t(id, state)")
+@query("""SELECT * FROM (VALUES (1, 'captcha_challenge', 'captcha', true, false), (2, 'login_page', 'login-form', true, false), (3, 'authenticated', 'session-artifacts', false, true), (4, 'unknown', NULL, false, false), (5, 'unknown', NULL, false, false),
+    (6, 'manual_required', 'qr-login', false, true), (7, 'sso_redirect', 'oauth-sso-redirect', true, false), (8, 'expired', 'auth-expired', true, false), (9, 'risk_challenge', 'account-risk', false, true), (10, 'mfa_challenge', 'mfa', true, false),
+    (11, 'redirecting', 'http-redirect', true, false), (12, 'authenticated', 'session-artifacts', false, true), (13, 'login_page', 'login-form', true, false), (14, 'manual_required', 'passkey-webauthn', false, true)) t(id, state, reason, recoverable, terminal)""")
 def login_states(spark, sf_dir):
-    d = spark.createDataFrame([(1, "Solve the CAPTCHA to log in"), (2, "Sign in with your password"), (3, "My account"), (4, "Blue mug"), (5, None)], "id int, t string")
-    return d.select("id", T.login_state(F.col("t")).alias("state"))
+    rows = [
+        (1, "Solve the CAPTCHA to log in", "https://s.test/", 200, False), (2, "Welcome back", "https://s.test/login", 200, False), (3, "My account", None, None, None), (4, "Blue mug", "https://s.test/", 200, False), (5, None, None, None, None),
+        (6, "Scan to login", "https://s.test/", 200, False), (7, "", "https://s.test/oauth/start", 302, False), (8, "no", "https://s.test/", 401, True), (9, "no", "https://s.test/", 423, True), (10, "Enter the OTP", "https://s.test/login", 200, False),
+        (11, "", "https://s.test/x", 302, False), (12, "Blue mug", "https://s.test/", 200, True), (13, '<input name="p" type="password">', "https://s.test/", 200, False), (14, "Use a passkey or the captcha", "https://s.test/", 200, False),
+    ]
+    d = spark.createDataFrame(rows, "id int, t string, u string, status int, session boolean")
+    seen = d.select("id", T.login_state(F.col("t"), F.col("u"), F.col("status"), F.col("session")).alias("s"))
+    return seen.select("id", "s.state", "s.reason", "s.recoverable", "s.terminal")
 
 
 @query("SELECT * FROM (VALUES (1, 'websocket'), (2, 'feed'), (3, 'sitemap'), (4, 'graphql'), (5, 'json'), (6, 'html'), (7, 'binary')) t(id, kind)")

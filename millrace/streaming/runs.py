@@ -11,12 +11,26 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors share; local only where no shared one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def store(spark: SparkSession):
+    """Writes a table to a shared folder and reads it back, which cuts the lineage between rounds."""
+    folder = shared_folder(spark).replace("/stream-", "/rounds-")
+
+    def save(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A file stream with the stored table's schema. The path is given as a pattern, since a stream takes a single file only that way."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")

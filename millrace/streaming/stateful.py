@@ -5,10 +5,11 @@ Columns of an event: key, ms (long), event_id, and what an operator names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,7 +42,7 @@ def fold_bucket(rows: pd.DataFrame, tokens: float, last: int | None, rate: float
         ms = int(ms)
         start = ms if last is None else max(ms, last)
         tokens = burst if last is None else min(burst, tokens + (start - last) / 1000 * rate)
-        wait = 0 if tokens >= 1 else int(-(-(1 - tokens) * 1000 // rate))
+        wait = 0 if tokens >= 1 else math.ceil((1 - tokens) * 1000 / rate)
         if wait:
             tokens = min(burst, tokens + wait / 1000 * rate)
         tokens -= 1
@@ -63,38 +64,57 @@ def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _replay(df: DataFrame, fold, schema: str) -> DataFrame:
-    """One pass for each key in order, through applyInPandas: ordered folds don't combine in parts."""
+    """A fold along each key in order: rows come sorted, batch after batch, and the state is carried on, so no key has to fit in memory.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = _ordered(rows)
-        return pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "out": fold(rows)})
+    ``fold``: (rows of one key, state or None) to (values, state). Ordered folds don't combine in parts, so a key is read by one task.
+    """
 
-    return df.groupBy("key").applyInPandas(run, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, started = None, None, False
+        for frame in frames:
+            cut = [0, *(i + 1 for i in range(len(frame) - 1) if frame["key"].iat[i] != frame["key"].iat[i + 1]), len(frame)] if len(frame) else [0]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                rows = frame.iloc[a:b]
+                own = rows["key"].iat[0]
+                if not started or own != key:
+                    key, state, started = own, None, True
+                out, state = fold(rows, state)
+                yield pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "out": out})
+
+    return df.repartition("key").sortWithinPartitions("key", "ms", "event_id").mapInPandas(run, schema)
 
 
 def ema(df: DataFrame, alpha: float = 0.2) -> DataFrame:
-    return _replay(df, lambda r: fold_ema(r, None, alpha)[0], "key string, event_id bigint, out double")
+    return _replay(df, lambda r, mean: fold_ema(r, mean, alpha), "key string, event_id bigint, out double")
 
 
 def token_bucket(df: DataFrame, rate: float, burst: float) -> DataFrame:
-    return _replay(df, lambda r: fold_bucket(r, burst, None, rate, burst)[0], "key string, event_id bigint, out bigint")
+    def fold(rows: pd.DataFrame, state):
+        out, *state = fold_bucket(rows, *(state or (burst, None)), rate, burst)
+        return out, state
+
+    return _replay(df, fold, "key string, event_id bigint, out bigint")
 
 
 def change_states(df: DataFrame) -> DataFrame:
-    return _replay(df, lambda r: fold_hash(r, None)[0], "key string, event_id bigint, out string")
+    """The state of each event against the one before it of its key; no Python."""
+    before = F.lag("hash").over(Window.partitionBy("key").orderBy("ms", "event_id"))
+    out = F.when(before.isNull(), "first-seen").when(before == F.col("hash"), "unchanged").otherwise("changed")
+    return df.select("key", "event_id", out.alias("out"))
 
 
 def autoscale(df: DataFrame, window: int = 20, low: int = 1, high: int = 20, step: int = 1, slow_ms: float = 2000, bad: float = 0.2) -> DataFrame:
     """Concurrency after each sample (value: latency, failed: 0 or 1): one step down when the last samples are slow or failing, else up."""
 
-    def fold(rows: pd.DataFrame) -> list[int]:
-        now, out, last = low, [], []
+    def fold(rows: pd.DataFrame, state):
+        now, last = state or (low, [])
+        out = []
         for v, f in zip(rows["value"], rows["failed"], strict=True):
             last = [*last, (v, f)][-window:]
             slow = sum(x for x, _ in last) / len(last) > slow_ms
             now = max(low, now - step) if slow or sum(y for _, y in last) / len(last) > bad else min(high, now + step)
             out.append(now)
-        return out
+        return out, (now, last)
 
     return _replay(df, fold, "key string, event_id bigint, out int")
 

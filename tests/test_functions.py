@@ -88,14 +88,43 @@ def test_bloom(spark):
 def test_bloom_asks_all_documents(spark, tmp_path):
     from millrace.plans import markup
 
-    spark.range(6000).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.range(0, 6000, 3).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/labels.parquet")
-    got = dict(rows(markup.bloom_membership_all(spark, str(tmp_path))))
+    docs, labels = spark.range(6000).withColumnRenamed("id", "doc_id"), spark.range(0, 6000, 3).withColumnRenamed("id", "doc_id")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert dict(rows(markup.bloom_membership(spark, str(tmp_path)))) == {i: i % 3 == 0 for i in range(6000)}
+    got = {r["doc_id"]: r["maybe"] for r in markup.bloom_asked(markup._keys(labels), markup._keys(docs)).collect()}
     assert len(got) == 6000 and all(got[i] for i in range(0, 6000, 3))
-    wrong = sum(got[i] for i in range(6000) if i % 3)
-    assert 4 <= wrong <= 120  # of 4000; a filter with room for many more keys would make none
-    spark.range(0).withColumnRenamed("id", "doc_id").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
-    assert not any(dict(rows(markup.bloom_membership_all(spark, str(tmp_path)))).values())
+    assert 4 <= sum(got[i] for i in range(6000) if i % 3) <= 120  # of 4000; a filter with room for many more keys would make none
+    labels.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert not any(dict(rows(markup.bloom_membership(spark, str(tmp_path)))).values())
+
+
+def test_discovery_counts_after_filters(spark):
+    """A page whose first 150 links lead elsewhere keeps the one that does not; at most maxLinksPerPage are kept."""
+    far = "".join(f'<a href="https://other.test/{i}">x</a>' for i in range(150))
+    pages = spark.createDataFrame([("https://s.test/", far + '<a href="/in">in</a>'), ("https://s.test/many", "".join(f'<a href="/l{i}">x</a>' for i in range(80)))], "url string, body string")
+    got = compiler.discover({"name": "x"}, pages).collect()
+    assert [r["url"] for r in got if r["parent"] == "https://s.test/"] == ["https://s.test/in"]
+    assert [r["url"] for r in got if r["parent"] != "https://s.test/"] == [f"https://s.test/l{i}" for i in range(50)]
+    open_ = {"name": "x", "discovery": {"skipLogout": False, "skipAssetLinks": False, "enqueueCanonical": True, "enqueueAlternateLanguages": True, "fileExtensions": [".csv"]}}
+    from millrace.plans.fixtures import SITE
+
+    kinds = {r["kind"] for r in compiler.discover(open_, spark.createDataFrame([("https://s.test/", SITE.replace("list.csv", "a.pdf").replace("/bye", "/b.csv"))], "url string, body string")).collect()}
+    assert kinds == {"canonical", "alternate-language", "asset", "generic", "detail", "pagination"}
+    assert compiler.discover({"name": "x"}, pages.limit(0)).count() == 0
+
+
+def test_network_ranking():
+    from millrace.functions import network
+
+    assert network.endpoint("https://s.test/api/v2/search?q=1", "POST") == (14 + 10 + 4, "api-data", ["api-path", "content-endpoint", "post-request"])
+    assert network.endpoint("https://s.test/x", "POST", '{"operationName":"a"}')[:2] == (40, "graphql")
+    assert network.endpoint("https://s.test/health/ping")[:2] == (-18, "health")
+    assert [network.shape_score(x) for x in ([], {}, "ok", "", "x" * 400, True, 3, None, [[1], {}], {"error": 1}, {"errors": 1, "token": 2, "x": 3})] == [-8, -10, -10, -8, 10, -6, 1, 0, 52, -25, -17]
+    calls = [{"url": "https://s.test/a", "transport": "xhr", "body": "{}"}, {"url": "https://s.test/b", "transport": "fetch", "body": "<p>"}, {"url": "https://s.test/c", "transport": "websocket", "body": "{}"}]
+    assert [c["url"][-1] for c in network.rank_calls(calls)] == ["a"] and [c["url"][-1] for c in network.rank_calls(calls, require_json=False, prefer=("/b$",))] == ["b", "a"]
+    best = network.rank_calls([{"url": "/x", "transport": "fetch", "status": 200, "body": '{"data":{"items":[{"id":1}]}}'}], select="primary-data")[0]
+    assert best["data_path"] == "data" and json.loads(best["payload"]) == {"items": [{"id": 1}]}
 
 
 def test_reasons_of_all_documents(spark, tmp_path):
@@ -103,7 +132,7 @@ def test_reasons_of_all_documents(spark, tmp_path):
 
     d = [(1, "s", "a", 100), (2, "s", "a", 100), (3, "s", "b", 105), (4, "s", "c", 300), (5, "t", "c", 300), (8, "t", "c", 300)]
     spark.createDataFrame(d, "doc_id bigint, source string, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
-    assert dict(rows(records.incremental_reason_all(spark, str(tmp_path)))) == {1: "new-url", 2: "unchanged", 3: "length-threshold", 4: "content-diff", 5: "etag", 8: "new-url"}
+    assert dict(rows(records.incremental_reason(spark, str(tmp_path)))) == {1: "new-url", 2: "unchanged", 3: "length-threshold", 4: "content-diff", 5: "etag", 8: "new-url"}
 
 
 def test_json_changes(spark):
@@ -184,7 +213,7 @@ def test_plans(spark):
     assert tuple(got[0]["extracted"]) == ("7", ["#x", "#y"], "T", None) and got[0]["issues"] == ["missing:none", "type:tags"]
     assert got[1]["extracted"]["j"] == "5" and "missing:id" in got[1]["issues"] and not got[1]["valid"]
     links = compiler.discover({"name": "x"}, spark.createDataFrame([("https://s.test/", PAGE)], "url string, body string")).collect()
-    assert [r["url"] for r in links][:1] == ["https://s.test/q?b=2&a=1"]
+    assert [r["url"] for r in links][:2] == ["https://s.test/p/2", "https://s.test/q?b=2&a=1"] and links[0]["kind"] == "pagination"  # the head names the next page
 
 
 def test_token_bucket_fold():
@@ -221,7 +250,7 @@ def test_titles_of_all_pages(spark, tmp_path):
 
     pages = {"<title>a &amp;&amp; b</title>": ("a && b", False), "<title>plain\n one</title>": ("plain one", False), "<title>c&#39;d": ("c'd", False), "<p>none": (None, True), "<title> </title><p>x": (None, False), "": (None, True), None: (None, True)}
     spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    assert sorted(rows(markup.css_title_all(spark, str(tmp_path)))) == [(i, *x) for i, x in enumerate(pages.values())]
+    assert sorted(rows(markup.css_title(spark, str(tmp_path)))) == [(i, *x) for i, x in enumerate(pages.values())]
 
 
 def test_text_columns(spark):
