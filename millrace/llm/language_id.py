@@ -3,7 +3,7 @@
 The network reads the UTF-8 bytes of a whole text forwards and backwards and gives every byte a distribution over
 the learned languages; a text's probabilities are the mean over all its bytes. A text is read in segments of ``segment`` bytes
 side by side, each with the ``context`` bytes before and after it, so that states have warmed up where a segment's own bytes
-begin: the pooled probabilities differ from those of one unbroken reading by about 0.001 (a test holds them against it). It is trained in numpy by
+begin: the pooled probabilities differ from those of one unbroken reading by about 0.003 (a test holds them against it). It is trained in numpy by
 backpropagation through time on a bounded sample: ``sample`` documents (smallest hashes of doc_id,
 spread evenly over the languages, one at least of each), every byte of them, in windows of ``window`` bytes.
 
@@ -131,7 +131,7 @@ def train_network(windows: list[bytes], labels: np.ndarray, classes: int, *, epo
 class Reader:
     """Inference over many segments at once. A sigmoid is taken as a tanh of half the argument; arrays are used again."""
 
-    def __init__(self, p: dict[str, np.ndarray], segment: int = 1024, context: int = 128, lanes: int = 768):
+    def __init__(self, p: dict[str, np.ndarray], segment: int = 1024, context: int = 96, lanes: int = 1024):
         h = p["uf"].shape[0]
         half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
         self.h, self.segment, self.context, self.lanes = h, segment, context, lanes

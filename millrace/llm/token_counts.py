@@ -11,7 +11,8 @@ by binary search gives each token its first and last section. A token that cross
 
 The counts of a text's sections add up to its tokens under any rule; ``crossing`` counts the border-crossing tokens that
 touch a section. A null or empty text has one empty section without tokens. Repeated rows and null
-ids are rows like any other. Strings of special tokens are ordinary text. Other columns are ignored.
+ids are rows like any other. Strings of special tokens are ordinary text. Other columns are ignored, clashing names among
+them. An empty table gives an empty result; a very long text is encoded whole, alone.
 """
 
 from __future__ import annotations
