@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("pages", "records", "runs", "diagnostics", "fixtures", "markup", "streams")
+_MODULES = ("pages", "records", "runs", "diagnostics", "fixtures", "markup", "streams", "deliveries")
 
 
 def _found():

@@ -119,6 +119,19 @@ def autoscale(df: DataFrame, window: int = 20, low: int = 1, high: int = 20, ste
     return _replay(df, fold, "key string, event_id bigint, out int")
 
 
+def scores(df: DataFrame, start: int = 100, gain: int = 5, loss: int = 20) -> DataFrame:
+    """Score of a key after each report (ok: boolean): a success gives ``gain``, a failure takes ``loss``, within 0 and 100."""
+
+    def fold(rows: pd.DataFrame, now):
+        now, out = start if now is None else now, []
+        for ok in rows["ok"]:
+            now = min(100, now + gain) if ok else max(0, now - loss)
+            out.append(now)
+        return out, now
+
+    return _replay(df, fold, "key string, event_id bigint, out int")
+
+
 # ---------------------------------------------------------------- the same folds over streams
 
 
