@@ -10,7 +10,8 @@ to a coarser group, until one group is left; other bins are exchanged inside the
 is left out when all bins together have less room than one holds, as it can save none then. No step
 adds a bin, so there are never more than best-fit decreasing of the whole table needs.
 
-A null text is empty and takes the closing id alone. Repeated rows are packed as often as they occur.
+A null text is empty and takes the closing id alone. A very long text is cut into pieces like any longer than
+``capacity``. An empty table gives an empty result. Repeated rows are packed as often as they occur.
 A null doc_id is a value like any other. Other columns of the input are ignored.
 """
 
@@ -239,7 +240,7 @@ def pack(docs: DataFrame, scratch: Scratch, *, path: str, capacity: int = 2048,
     now = packed.where("up").withColumn("g", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
     while True:
         level += 1
-        packed = scratch.save(now.groupBy("g").applyInArrow(_pack(level, capacity, hand_up if groups > 1 else 0), now.schema), "packed")
+        packed = scratch.save(now.repartition(min(groups, 10_000), "g").groupBy("g").applyInArrow(_pack(level, capacity, hand_up if groups > 1 else 0), now.schema), "packed")
         done.append(packed.where("not up"))
         if groups == 1:
             break
