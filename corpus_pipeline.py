@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the
 last return the columns of ``documents``. ``docs`` is a stored table.
+
+All stages: nulls may stand in any column; rows repeat; other columns pass through, also with names that an operator
+gives its own results; a very long text is read whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,13 +22,13 @@ LEAST_LANGUAGE = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quality classifier rejects."""
+    """Drops what the quality classifier rejects. Null and empty texts score the labelled rows' own share of label 1; without labels all score 0.5 and stay."""
     out = quality.classify(docs, quality.train(docs, read(spark, sf_dir, "labels")))
     return out.where(F.col(out.columns[-1]) >= LEAST_QUALITY).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what is in no language that can be told; nothing goes if no language can be learned."""
+    """Drops what is in no language that can be told, null texts and texts without a letter among them; nothing goes if no language can be learned."""
     model = language_id.train(docs)
     if model is None:
         return docs
@@ -35,17 +38,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies: the smallest doc_id. Texts without words are copies of nothing and stay; repeated rows become one; rows without a doc_id stay, one for each text."""
     return ngram_join.deduplicate(docs, Scratch(spark, "dedup"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes whole documents so that sources come near their targets; a document can come up to three times."""
+    """Takes whole documents so that sources come near their targets; a document can come up to three times. Documents without words, and so null texts, are not taken; null sources are one source."""
     return mixing.mixed_rows(docs, Scratch(spark, "mixing"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix into sequences of 2048 tokens; a row for each piece."""
+    """Packs the mix into sequences of 2048 tokens; a row for each piece. A document that comes more than once is packed as often."""
     import public_tokenizers
 
     return packing.pack(docs, Scratch(spark, "packing"), path=public_tokenizers.path("word_bpe_49k.json"))
