@@ -541,8 +541,9 @@ def deduplicate(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     Rows of one doc_id stay or go together, and repeated rows become one. Rows of null doc_id stay, one for each text.
     """
     found = ngram_join(docs, scratch, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    own = docs.where("doc_id is not null").join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
+    return own.unionByName(docs.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
