@@ -83,6 +83,11 @@ def test_bloom(spark):
     built = dedup.bloom_build(d.where("id < 1000"), "k", 1000, 0.01)
     got = rows(dedup.bloom_contains(d, "k", built, 1000, 0.01).groupBy(F.col("id") < 1000).agg(F.sum(F.col("maybe").cast("int"))))
     assert dict(got)[True] == 1000 and dict(got)[False] < 50
+    keys = pd.Series(["", "k", "key é 漢字 🙂", "k" * 300])
+    assert dedup.bloom_places(keys, 9586, 7).tolist() == [[dedup.fnv1a(k, (i * 0x9E3779B9) & 0xFFFFFFFF) % 9586 for i in range(7)] for k in keys]
+    mixed = d.select("k").unionAll(d.select("k").limit(3)).unionByName(spark.createDataFrame([(None,)], "k string"))
+    small, large = (sorted(map(str, rows(dedup.bloom_contains(mixed, "k", built, 1000, 0.01, broadcast_bytes=n)))) for n in (1 << 26, 1))
+    assert small == large and len(small) == 2004
 
 
 def test_bloom_asks_all_documents(spark, tmp_path):
