@@ -198,9 +198,9 @@ def least_of_hub(rows: int) -> int:
     return max(_FEW, rows // _HUBS)
 
 
-def look_up(left: DataFrame, key: str | list[str], table: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """``left.join(table, key, how)`` for a table with one row a key. ``hot``: its rows for hubs, fewer than _HUBS, which meet by broadcast; no hub is shuffled."""
-    if hot.isEmpty():
+def look_up(left: DataFrame, key: str | list[str], table: DataFrame, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``left.join(table, key, how)`` for a table with one row a key. ``hot``: its rows for hubs, fewer than _HUBS, which meet by broadcast; no hub is shuffled. None: there are no hubs."""
+    if hot is None or hot.isEmpty():
         return left.join(table, key, how)
     marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     cold = marked.where("_hot is null").select(left.columns).join(table, key, how)
@@ -231,12 +231,14 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         least = least_of_hub(2 * n)
         both = e.select(F.col("a").alias("id"), F.col("b").alias("to")).unionAll(e.select(F.col("b").alias("id"), F.col("a").alias("to")))
         m = scratch.save(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("m"), F.count(F.lit(1)).alias("degree")), "min")
+        hubs = F.col("degree") > least
+        some = not m.where(hubs).isEmpty()
         up = m.select(F.col("id").alias("m"), F.col("m").alias("top"), "degree")
-        m = scratch.save(look_up(m, "m", up.drop("degree"), up.where(F.col("degree") > least).drop("degree")).select("id", F.col("top").alias("m"), "degree"), "jump")
+        m = scratch.save(look_up(m, "m", up.drop("degree"), up.where(hubs).drop("degree") if some else None).select("id", F.col("top").alias("m"), "degree"), "jump")
         chain.append(m)
         for own in "ab":
             to = m.select(F.col("id").alias(own), F.col("m").alias("n" + own), "degree")
-            e = look_up(e, own, to.drop("degree"), to.where(F.col("degree") > least).drop("degree"))
+            e = look_up(e, own, to.drop("degree"), to.where(hubs).drop("degree") if some else None)
         e = scratch.save(e.where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), "edges")
     if not chain:
         return edges.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)

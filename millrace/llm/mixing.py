@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, hub_join, least_of_hub, look_up, read
+from .common import WORD, Scratch, hub_join, read
 
 _FACTORIAL = "array(" + ",".join(f"{math.lgamma(k + 1)!r}D" for k in range(17)) + ")"
 
@@ -40,9 +40,9 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
-    """source, source_size, source_rank, weight, target of ``sizes(source, size)``."""
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...], cap: float, **sums: Column) -> tuple[DataFrame, DataFrame, float]:
+    """source, source_size, source_rank, weight, target of ``sizes(source, size)``, and other sums of a source; the stored table under it; the sum of targets."""
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), *[F.sum(c).alias(k) for k, c in sums.items()])
     # rank: place in a range of the sorted sources, and how many are in the ranges before; as many rows as ranges
     sorted_ = scratch.save(by_source.orderBy(F.col("source").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()), "sources")
     part = F.shiftrightunsigned("_at", 33)
@@ -51,7 +51,7 @@ def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...], cap: f
     w = sorted_.withColumn("_part", part).join(F.broadcast(ranges), "_part")
     w = w.withColumn("source_rank", (F.col("_c0") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long"))
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(F.col("source_rank") - 1, F.lit(len(weights))).cast("int") + 1)
-    w = scratch.save(w.select("source", "source_size", "source_rank", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")), "ranked")
+    w = scratch.save(w.select("source", *sums, "source_size", "source_rank", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")), "ranked")
     total = w.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
     while True:  # a source that is full stays full as the level rises; each round fills one more at least
@@ -60,7 +60,8 @@ def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...], cap: f
         if now == full or not open_:
             break
         level, full = (total - (held or 0.0)) / open_, now
-    return w.select("source", "source_size", "source_rank", "weight", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
+    goal = w.select("source", *sums, "source_size", "source_rank", "weight", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
+    return goal, w, (held or 0.0) + level * (open_ or 0.0)
 
 
 # ---------------------------------------------------------------- hypergeometric draws in SQL
@@ -106,35 +107,37 @@ def _draws(q: str, n: str, who: str, key: str) -> str:
     return f"aggregate({q}, {start}, {step}).left"
 
 
-def _halves(level: DataFrame, seed: int) -> DataFrame:
+def _halves(level: DataFrame, seed: int, along: list[str]) -> DataFrame:
     """The children of nodes whose left ones draw ``n`` of a group's blocks."""
+    more = "".join(f", '{c}', x.{c}" for c in along)
     split = level.withColumn("left", F.expr(_draws("q", "n", "source_rank", f"{seed}L, node")))
-    left = "named_struct('node', 2 * node, 'q', transform(q, (x, i) -> named_struct('source_rank', x.source_rank, 'quota', left[i])))"
-    right = "named_struct('node', 2 * node + 1, 'q', transform(q, (x, i) -> named_struct('source_rank', x.source_rank, 'quota', x.quota - left[i])))"
+    left = f"named_struct('node', 2 * node, 'q', transform(q, (x, i) -> named_struct('source_rank', x.source_rank, 'quota', left[i]{more})))"
+    right = f"named_struct('node', 2 * node + 1, 'q', transform(q, (x, i) -> named_struct('source_rank', x.source_rank, 'quota', x.quota - left[i]{more})))"
     both = split.select("grp", F.inline(F.expr(f"array({left}, {right})")))
     return both.select("node", "grp", F.expr("filter(q, x -> x.quota > 0)").alias("q")).where("size(q) > 0")
 
 
 def splitting_tree(scratch: Scratch, quotas: DataFrame, depth: int, seed: int) -> DataFrame:
-    """shard, source_rank, quota: what each of the 2 ** depth shards draws of ``quotas(source_rank, quota)``.
+    """shard, source_rank, quota: what each of the 2 ** depth shards draws of ``quotas(source_rank, quota, ...)``; other columns of a source go along.
 
     Every node of the tree gives half of its blocks (the odd one to the right) to its left child.
     """
     sources = quotas.agg(F.max("source_rank")).first()[0] or 0
     width = max(64, math.isqrt(sources))
-    pack = F.array_sort(F.collect_list(F.struct("source_rank", "quota"))).alias("q")
+    along = [c for c in quotas.columns if c not in ("source_rank", "quota")]
+    pack = F.array_sort(F.collect_list(F.struct("source_rank", "quota", *along))).alias("q")
     level = quotas.withColumns({"node": F.lit(1).cast("long"), "grp": F.floor(F.col("source_rank") / width)}).groupBy("node", "grp").agg(pack)
     total = "aggregate(q, 0L, (a, x) -> a + x.quota)"
     for d in range(depth):
         level = scratch.save(level, f"tree{d}")
         if sources < width:  # one group, which draws all
-            level = _halves(level.withColumn("n", F.expr(f"cast(floor({total} / 2) as bigint)")), seed)
+            level = _halves(level.withColumn("n", F.expr(f"cast(floor({total} / 2) as bigint)")), seed, along)
             continue
         groups = level.select("node", F.struct("grp", F.expr(total).alias("quota")).alias("g")).groupBy("node").agg(F.array_sort(F.collect_list("g")).alias("gs"))
         n = "cast(floor(aggregate(gs, 0L, (a, x) -> a + x.quota) / 2) as bigint)"
         share = groups.withColumn("left", F.expr(_draws("gs", n, "grp", f"{seed}L, 'groups', node")))
         share = share.select("node", F.inline(F.expr("transform(gs, (x, i) -> named_struct('grp', x.grp, 'n', left[i]))")))
-        level = _halves(level.join(share, ["node", "grp"]), seed)
+        level = _halves(level.join(share, ["node", "grp"]), seed, along)
     return level.select((F.col("node") - (1 << depth)).alias("shard"), F.inline("q")).where("quota > 0")
 
 
@@ -146,18 +149,18 @@ def draw(sized: DataFrame, scratch: Scratch, keep: DataFrame | None = None, *, w
 
     A block drawn: row, block (its place in the text), words, epoch, shard, order_key. content: two hashes of the text.
     """
-    goal = scratch.save(targets(scratch, sized, weights, cap).withColumn("key", _key("source")), "targets")
-    depth = max(0, math.ceil(math.log2(max(1, (goal.agg(F.sum("target")).first()[0] or 0) / shard_words))))
-    sourced = hub_join(sized.select("row", "doc_id", "content", "size", _key("source").alias("key")), "key", goal.drop("source"))
     width = F.lit(block_words) if block_words else F.greatest(F.col("size"), F.lit(1))
-    block = sourced.where("size > 0").select("row", "doc_id", "content", "size", "source_rank", "source_size", "target", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / width).cast("int") - 1)).alias("block"))
+    goal, stored, total = targets(scratch, sized, weights, cap, n=F.ceil(F.col("size") / width))
+    goal = goal.withColumn("key", _key("source"))
+    depth = max(0, math.ceil(math.log2(max(1, total / shard_words))))
+    sourced = hub_join(sized.select("row", "doc_id", "content", "size", _key("source").alias("key")), "key", goal.drop("source"))
+    block = sourced.where("size > 0").select("row", "doc_id", "content", "size", "source_rank", "source_size", "target", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / width).cast("int") - 1)).alias("block"))
     values = [F.lit(seed), F.col("source_rank"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("content"), F.col("block")]
     block = block.withColumn("words", F.least(width.cast("long"), F.col("size") - F.col("block") * width)).withColumn("p", F.xxhash64(*values))
     block = scratch.save(block, "blocks")
-    count = block.groupBy("source_rank").agg(F.count(F.lit(1)).alias("n"))
-    count = scratch.save(count.withColumn("ranges", F.ceil(F.col("n") / run)), "counts")
-    part = F.least(F.floor((F.col("p") / F.lit(2.0**64) + 0.5) * F.col("ranges")), F.col("ranges") - 1)
-    placed = look_up(block, "source_rank", count, count.where(F.col("n") > least_of_hub(block.count()))).withColumn("part", part).withColumn("far", F.floor(F.col("part") / F.lit(run)))
+    ranges = F.ceil(F.col("n") / run)
+    part = F.least(F.floor((F.col("p") / F.lit(2.0**64) + 0.5) * ranges), ranges - 1)
+    placed = block.withColumn("part", part).withColumn("far", F.floor(F.col("part") / F.lit(run)))
     first = Window.unboundedPreceding
     sums = scratch.save(placed.groupBy("source_rank", "far", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("words").alias("w")), "ranges")
     runs = sums.groupBy("source_rank", "far").agg(F.sum("c").alias("c"), F.sum("w").alias("w"))
@@ -182,7 +185,7 @@ def draw(sized: DataFrame, scratch: Scratch, keep: DataFrame | None = None, *, w
     drawn = scratch.save(drawn.select("row", "block", "words", "source_rank", "epoch", key.alias("order_key"), place.alias("at"), "length", F.floor(place / F.col("length")).alias("stretch")), "drawn")
 
     quotas = scratch.save(drawn.groupBy("source_rank").agg(F.count(F.lit(1)).alias("quota"), F.max("length").alias("length")), "quotas")
-    tree = scratch.save(splitting_tree(scratch, quotas.select("source_rank", "quota"), depth, seed), "tree")
+    tree = scratch.save(splitting_tree(scratch, quotas, depth, seed), "tree")
     # a shard's range of a source begins where the shards before it end; shards in runs, as parts above
     tree = tree.withColumn("far", F.floor(F.col("shard") / F.lit(run)))
     runs = tree.groupBy("source_rank", "far").agg(F.sum("quota").alias("c"))
@@ -190,11 +193,10 @@ def draw(sized: DataFrame, scratch: Scratch, keep: DataFrame | None = None, *, w
     runs = runs.select("source_rank", "far", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c1"))
     before = Window.partitionBy("source_rank", "far").orderBy("shard").rowsBetween(first, -1)
     own = tree.withColumn("c0", F.coalesce(F.sum("quota").over(before), F.lit(0))).join(runs, ["source_rank", "far"])
-    own = own.select("source_rank", "shard", (F.col("c0") + F.col("c1")).alias("begin"), (F.col("c0") + F.col("c1") + F.col("quota")).alias("end"))
-    own = hub_join(scratch.save(own, "ranges-of-shards"), "source_rank", quotas.select("source_rank", "length"))
+    own = own.select("source_rank", "shard", "length", (F.col("c0") + F.col("c1")).alias("begin"), (F.col("c0") + F.col("c1") + F.col("quota")).alias("end"))
     own = own.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("begin") / F.col("length")), F.floor((F.col("end") - 1) / F.col("length"))))).drop("length")
     own = scratch.save(own, "shards-of-sources")
-    scratch.drop_but(keep, goal, drawn, own)
+    scratch.drop_but(keep, stored, drawn, own)
     out = drawn.join(own, ["source_rank", "stretch"]).where("at >= begin and at < end")
     return out.select("row", "block", "words", "epoch", "shard", "order_key"), goal
 
