@@ -131,7 +131,7 @@ def train_network(windows: list[bytes], labels: np.ndarray, classes: int, *, epo
 class Reader:
     """Inference over many segments at once. A sigmoid is taken as a tanh of half the argument; arrays are used again."""
 
-    def __init__(self, p: dict[str, np.ndarray], segment: int = 1024, context: int = 96, lanes: int = 1024):
+    def __init__(self, p: dict[str, np.ndarray], segment: int = 1024, context: int = 96, lanes: int = 640):
         h = p["uf"].shape[0]
         half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
         self.h, self.segment, self.context, self.lanes = h, segment, context, lanes

@@ -11,7 +11,7 @@ import numpy as np
 
 from .common import factorize, key_hash, spans, word_keys
 
-_LIMIT = 2_000_000
+_LIMIT = 1_000_000
 _RECENT = 1 << 17
 _state: dict = {}
 
