@@ -74,7 +74,7 @@ def media_assets(spark, sf_dir):
     return responses(spark, sf_dir).select("page_id", F.explode(udf.media_assets(F.col("body"), F.col("url"))).alias("m")).select("page_id", "m.*")
 
 
-@query()
+@query(r"SELECT page_id, len(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '(?i)<a\s[^>]*?href\s*=[^>]*>')) AS n FROM pages")
 def xpath_links(spark, sf_dir):
     return responses(spark, sf_dir).select("page_id", F.size(udf.xpath(F.col("body"), "//a/@href")).alias("n"))
 
