@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,17 +105,26 @@ def change_states(df: DataFrame) -> DataFrame:
 
 
 def autoscale(df: DataFrame, window: int = 20, low: int = 1, high: int = 20, step: int = 1, slow_ms: float = 2000, bad: float = 0.2) -> DataFrame:
-    """Concurrency after each sample (value: latency, failed: 0 or 1): one step down when the last samples are slow or failing, else up."""
+    """Concurrency after each sample (value: latency, failed: 0, 1 or null): one step down when the last samples are slow or failing, else up.
+
+    Means are plain double sums from the oldest sample to the newest, over their number; Python's ``sum`` compensates and rounds ties with a limit otherwise. NaN is slow; a null in ``failed`` isn't counted.
+    """
 
     def fold(rows: pd.DataFrame, state):
-        now, last = state or (low, [])
+        now, past = state or (low, np.empty((0, 2)))
+        seen = np.concatenate([past, rows[["value", "failed"]].to_numpy("float64")])
+        known = ~np.isnan(seen) | [True, False]
+        total, n = np.zeros_like(seen), np.zeros_like(seen)
+        for back in range(min(window, len(seen)) - 1, -1, -1):
+            here = slice(0, len(seen) - back)
+            total[back:] += np.where(known[here], seen[here], 0.0)
+            n[back:] += known[here]
+        mean = total[len(past) :] / np.maximum(n[len(past) :], 1)
         out = []
-        for v, f in zip(rows["value"], rows["failed"], strict=True):
-            last = [*last, (v, f)][-window:]
-            slow = sum(x for x, _ in last) / len(last) > slow_ms
-            now = max(low, now - step) if slow or sum(y for _, y in last) / len(last) > bad else min(high, now + step)
+        for worse in ~(mean[:, 0] <= slow_ms) | (mean[:, 1] > bad):
+            now = max(low, now - step) if worse else min(high, now + step)
             out.append(now)
-        return out, (now, last)
+        return out, (now, seen[max(0, len(seen) - window + 1) :])
 
     return _replay(df, fold, "key string, event_id bigint, out int")
 

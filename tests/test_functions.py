@@ -229,6 +229,29 @@ def test_token_bucket_fold():
     assert half + stateful.fold_bucket(r[2:], t, at, 1.0, 2.0)[0] == out
 
 
+def test_autoscale_means(spark):
+    """Plain sums in order, over batch borders, with ties at the limit and nulls; as the query's SQL has them."""
+    import duckdb
+
+    from millrace.plans import markup
+
+    tie = [61.42, 109.31, 23.59, 45.68]  # 240.00000000000003 in order, 240 when compensated
+    assert sum(tie) == 240 < ((tie[0] + tie[1]) + tie[2]) + tie[3]
+    e = pd.DataFrame([("1", i, v, 0) for i, v in enumerate(tie)], columns=["key", "event_id", "value", "failed"]).assign(ms=0)
+    e["ms"] = e["event_id"]
+    assert [r["out"] for r in stateful.autoscale(spark.createDataFrame(e), slow_ms=60.0).orderBy("event_id").collect()] == [1, 1, 1, 1]  # not 2 at the end
+    c = duckdb.connect()
+    c.execute("create table events as select i as event_id, make_timestamp(i * 1000000) as ts, i % 3 as user_id, case when i % 7 = 0 then null when i % 4 = 0 then 'error' else 'view' end as event_type, case when i % 11 > 0 then (i * 37) % 120 + 0.25 end as value from range(200) t(i)")
+    want = sorted(c.execute(markup.SQL["autoscale_replay"]).fetchall())
+    e = c.execute("select user_id::varchar as key, epoch_us(ts) // 1000 as ms, event_id, coalesce(value, 0)::double as value, (event_type = 'error')::int as failed from events").fetchall()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = stateful.autoscale(spark.createDataFrame(e, "key string, ms long, event_id long, value double, failed int"), slow_ms=60.0)
+        assert sorted(rows(got)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_streams_match_replays(spark, tmp_path):
     e = [("a" if i % 3 else "b", i * 700, i, f"h{i // 4 % 3}") for i in range(60)]
     schema = "key string, ms long, event_id long, hash string"
