@@ -54,12 +54,13 @@ def page_meta(spark, sf_dir):
     SELECT *, 3 * crypto_signals + 2 * automation_signals AS score FROM s""")
 def page_surface_signals(spark, sf_dir):
     h = F.col("html")
-    distinct = lambda p, low: F.size(F.array_distinct(F.regexp_extract_all(F.lower(h) if low else h, F.lit(p), 0))).cast("bigint")
+    words = lambda p: F.regexp_extract_all(h, F.lit(rf"(?i)(?<!\w)({p})(?!\w)"), 0)  # noqa: E731 - borders as \w has them: Java's \b takes letters of any script for part of a word
+    distinct = lambda found: F.size(F.array_distinct(found)).cast("bigint")
     external = text.count_matches(h, r"(?i)<script[^>]+src=")
     s = pages(spark, sf_dir).select(
         "page_id", external.alias("script_sources"), (text.count_matches(h, r"(?i)<script") - external).alias("inline_scripts"),
-        distinct(r"\b(cryptojs|aes|des|rsa|hmac|sha1|sha256|sha512|md5|base64)\b", True).alias("crypto_signals"),
-        distinct(r"(?i)\b(webdriver|navigator\.plugins|navigator\.languages|webgl|canvas|fingerprint)\b", False).alias("automation_signals"),
+        distinct(F.transform(words("cryptojs|aes|des|rsa|hmac|sha1|sha256|sha512|md5|base64"), F.lower)).alias("crypto_signals"),
+        distinct(words(r"webdriver|navigator\.plugins|navigator\.languages|webgl|canvas|fingerprint")).alias("automation_signals"),
     )
     return s.withColumn("score", 3 * F.col("crypto_signals") + 2 * F.col("automation_signals"))
 

@@ -298,6 +298,21 @@ def test_title_entities(spark, tmp_path):
     assert sorted(c.execute(markup.SQL["css_title"]).fetchall()) == got
 
 
+def test_signals_beside_other_letters(spark, tmp_path):
+    """Borders of signal words are those of ASCII, as in the query's SQL."""
+    import duckdb
+
+    from millrace.plans import pages
+
+    bodies = ["ñdes aesé", "DES des Des", "xdes des_ 1des aes2", "\u0130des des\u0130 des\u0301", "ümd5ü-sha1.", "éwebgl WebGL canvasß navigator.plugins navigator_plugins", "", None, "<script src=a>des</script><SCRIPT>я-rsa-я"]
+    spark.createDataFrame([(i, "u", h) for i, h in enumerate(bodies)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(rows(pages.page_surface_signals(spark, str(tmp_path))))
+    assert [r[3] for r in got] == [2, 1, 0, 1, 2, 0, 0, None, 2] and [r[4] for r in got] == [0, 0, 0, 0, 0, 4, 0, None, 0]
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(c.execute(pages.SQL["page_surface_signals"]).fetchall()) == got
+
+
 def test_text_columns(spark):
     d = spark.createDataFrame([("<p>a</p><script>x</script> <b>c</b>", "image/png", "P1DT1S")], "h string, m string, d string")
     assert rows(d.select(text.visible_text(F.col("h")), text.mime_kind(F.col("m")), text.iso_duration_seconds(F.col("d")))) == [("a c", "image", 86401.0)]
