@@ -24,6 +24,11 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: A key is a hub when it holds more rows than both of these: this many, and one in _HUBS of all. So there are fewer than _HUBS hubs.
 _FEW, _HUBS = 64, 2048
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of whole texts that a task holds at a time.
+TEXT_ROWS = 1000
+#: What a worker keeps from task to task, by the kind of task that needs it.
+kept: dict[str, dict] = {}
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -47,10 +52,17 @@ class Scratch:
         self.spark, self.path = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n, self._held = 0, []
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", batch: int | None = None) -> DataFrame:
+        """``df``, stored. ``batch``: most rows that Python gets at a time meanwhile, for steps that read whole texts."""
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        was = self.spark.conf.get(_ARROW_ROWS)
+        if batch and not 0 < int(was) <= batch:
+            self.spark.conf.set(_ARROW_ROWS, batch)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_ARROW_ROWS, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._held.append((out, path))
         return out
@@ -83,6 +95,15 @@ def fold(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def start_task(*kinds: str) -> None:
+    """At a task's start: lets go of what the worker has kept for other kinds of tasks than ``kinds``."""
+    others = [k for k in kept if k not in kinds]
+    for k in others:
+        del kept[k]
+    if others:
+        tidy()
+
+
 def tidy() -> None:
     """Gives what a task has freed back to the system; workers live on beside others."""
     import ctypes

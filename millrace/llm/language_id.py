@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fold, free_name, read, text_chunks, tidy
+from .common import fold, free_name, read, start_task, text_chunks, tidy
 
 _HIDDEN = 8
 
@@ -244,6 +244,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        start_task()
         letter = regex.compile(r"\p{L}")
         m = shared.value
         reader = Reader(m["net"]) if m else None

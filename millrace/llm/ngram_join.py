@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components, hub_join, least_of_hub, look_up, mix, parts, read, text_chunks, tidy, words
+from .common import TEXT_ROWS, Forest, Scratch, components, hub_join, least_of_hub, look_up, mix, parts, read, start_task, text_chunks, tidy, words
 
 
 # ---------------------------------------------------------------- sets
@@ -84,6 +84,7 @@ def _short(size: np.ndarray, sets: np.ndarray, bits: int) -> np.ndarray:
 
 def _class_rows(n: int, fp_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         for batch in batches:
             sizes, one, two = [], [], []
             for _, size, sets in shingle_sets(batch.column(1), n):
@@ -179,6 +180,7 @@ def _by_bucket(n: int, bits: int, fp_bits: int, renamed: dict[tuple[int, int], i
     """Texts to rows of DEALT. ``renamed``: new keys of classes whose short keys clash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         dealer, clashing = _Dealer(bits), np.array(sorted({a for a, _ in renamed}), np.int64)
         for batch in batches:
             for _, size, sets in shingle_sets(batch.column(0), n):
@@ -470,7 +472,7 @@ def _windows(member: DataFrame, scratch: Scratch, percent: int, block: int) -> D
 def ngram_join(docs: DataFrame, scratch: Scratch, *, n: int = 5, percent: int = 80, block: int = 128, pivots: int = 8, per_bucket: int = 1 << 20, round_bits: int = 13, fp_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_size (rows with the same set) for every row of ``docs(doc_id, text)``."""
     texts = docs.select("doc_id", "text")
-    rows = scratch.save(texts.mapInArrow(_class_rows(n, fp_bits), "doc_id bigint, n bigint, fp bigint, fp2 bigint"), "sets")
+    rows = scratch.save(texts.mapInArrow(_class_rows(n, fp_bits), "doc_id bigint, n bigint, fp bigint, fp2 bigint"), "sets", batch=TEXT_ROWS)
     classes = scratch.save(rows.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), "classes")
     renamed = _new_keys(classes)
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -483,7 +485,7 @@ def ngram_join(docs: DataFrame, scratch: Scratch, *, n: int = 5, percent: int =
     shared = _grouped(dealt, tasks, "bucket").applyInPandas(_shared(bits, min(class_bits, round_bits)), "bucket int, fp binary, n binary, tok binary, df binary")
     if class_bits > round_bits:
         shared = shared.repartition(1 << round_bits, "bucket").mapInPandas(_split_again(class_bits, CLASSES), shared.schema)
-    mixed = scratch.save(_grouped(shared, class_tasks, "bucket").applyInPandas(_prefixes(percent, min(class_bits, round_bits)), "bucket int, fp bigint, n bigint, tok binary, cls binary"), "prefixes")
+    mixed = scratch.save(_grouped(shared, class_tasks, "bucket").applyInPandas(_prefixes(percent, min(class_bits, round_bits)), "bucket int, fp bigint, n bigint, tok binary, cls binary"), "prefixes", batch=TEXT_ROWS)
     cand = mixed.where("bucket = -1").select("fp", "n", "tok")
     prefix = mixed.where("bucket >= 0").select("bucket", "tok", "cls")
     if class_bits > round_bits:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, text_chunks, tidy
+from .common import TEXT_ROWS, Scratch, read, start_task, text_chunks, tidy
 from .tokens import encode
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint"
@@ -43,6 +43,7 @@ def _ranks(length: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("tokens")
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
@@ -124,6 +125,7 @@ def best_fit_counts(counts: dict[int, int], capacity: int) -> tuple[np.ndarray,
 
 def _place(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         runs, ranges = shared.value
         keys = runs[:, 0] << 44 | runs[:, 1]
         for batch in batches:
@@ -224,7 +226,7 @@ def _pack(level: int, capacity: int, hand_up: int):
 
 def pack(docs: DataFrame, scratch: Scratch, *, path: str, capacity: int = 2048, end_id: int = 0, group: int = 2000, fan_in: int = 64, hand_up: int = 2) -> DataFrame:
     """Pieces of ``docs(doc_id, text)`` with their sequence and their place in it."""
-    pieces = scratch.save(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, end_id), PIECES), "pieces")
+    pieces = scratch.save(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, end_id), PIECES), "pieces", batch=TEXT_ROWS)
     count = scratch.save(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = count.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, free_name, hash_spans, read, spans, text_chunks, tidy
+from .common import fold, free_name, hash_spans, read, spans, start_task, text_chunks, tidy
 
 _SHAPES, _HASHED = 3 * 6 * 3 * 2 * 2, 512
 TERMS = 2 * _SHAPES + _HASHED
@@ -113,6 +113,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[pa.Table
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    start_task()
     for batch in batches:
         rows = [r.astype("<u4").tobytes() for part in term_counts(batch.column(0)) for r in part]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).cast(pa.int32())], ["terms", "quality"])
@@ -134,6 +135,7 @@ def classify(docs: DataFrame, model: dict | None) -> DataFrame:
     name = free_name(docs, "quality_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         m = shared.value
         for batch in batches:
             if m is None:

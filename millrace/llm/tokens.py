@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import factorize, key_hash, spans, word_keys
+from .common import factorize, kept, key_hash, spans, word_keys
 
 _LIMIT = 1_000_000
 _RECENT = 1 << 17
-_state: dict = {}
 
 
 class _Cache:
@@ -64,13 +63,14 @@ class _Cache:
 
 
 def _tables(path: str) -> tuple:
-    if _state.get("path") != path:
+    state = kept.setdefault("tokens", {})
+    if state.get("path") != path:
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), cache=_Cache())
-    if _state["cache"].n > _LIMIT:
-        _state["cache"] = _Cache()
-    return _state["tokenizer"], _state["cache"]
+        state.update(path=path, tokenizer=Tokenizer.from_file(path), cache=_Cache())
+    if state["cache"].n > _LIMIT:
+        state["cache"] = _Cache()
+    return state["tokenizer"], state["cache"]
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

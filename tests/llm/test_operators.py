@@ -684,3 +684,41 @@ def test_components(spark, scratch):
     got = {r["id"]: r["component"] for r in components(scratch, spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[150] == got[200] == 100 and all(got[1001 + i] == 1000 for i in range(50))
     assert components(scratch, spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# ---------------------------------------------------------------- memory of workers
+
+
+def _starts() -> dict:
+    from millrace.llm import ngram_join, quality
+
+    return {"quality, sample": quality._counted, "sets": ngram_join._class_rows(5, 64), "buckets": ngram_join._by_bucket(5, 8, 64, {})}
+
+
+@pytest.mark.parametrize("kind", ["quality, sample", "sets", "buckets"])
+def test_a_task_lets_go_of_other_tasks_tokenizer(kind):
+    import public_tokenizers
+    from millrace.llm import common, tokens
+
+    text = np.frombuffer(b"one two three", np.uint8)
+    ids, _ = tokens.encode(public_tokenizers.path("word_bpe_49k.json"), text, np.array([0, len(text)]))
+    common.start_task("tokens")
+    assert "tokens" in common.kept and len(ids) >= 3
+    assert not list(_starts()[kind](iter([])))
+    assert not common.kept
+    again, _ = tokens.encode(public_tokenizers.path("word_bpe_49k.json"), text, np.array([0, len(text)]))
+    assert again.tolist() == ids.tolist()
+    common.start_task()
+
+
+def test_saved_steps_hold_few_whole_texts(spark, scratch):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    got = [r["n"] for r in scratch.save(spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n bigint"), batch=1000).collect()]
+    assert sum(got) == 2500 and max(got) <= 1000 and spark.conf.get(name) == was
